@@ -1,0 +1,3 @@
+"""Reserved. The operator inventory is batch only, so there is nothing to stream yet;
+every operator here is stateless DataFrame -> DataFrame code that also accepts a
+streaming DataFrame where Structured Streaming supports the clause it uses."""
