@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -30,24 +30,28 @@ _L, _N, _W = _members("L"), _members("N"), "\\t-\\r \xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_PIECES = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_TWO_SPACES = re.compile(f"[{_W}]{{2}}")
+#: Where white space meets white space, or a stop or comma follows anything but a letter or digit.
+_JOINED = re.compile(f"[{_W}]{{2}}|(?<![{_L}{_N}])[.,]")
 
 
 def _byte_units(text: str) -> list[str]:
-    """Parts that begin at piece boundaries. Where no two white-space characters meet, a
-    boundary lies before each space and around each line end; else cut piece by piece."""
-    if _TWO_SPACES.search(text):
+    """Parts that begin at piece boundaries: before each space, stop and comma and around each
+    line end, unless characters meet there that one piece could hold; then piece by piece."""
+    if _JOINED.search(text):
         return _BYTE_PIECES.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
 
 def _word_units(text: str) -> list[str]:
-    """This kind drops white space, and no piece spans it."""
-    return text.lower().split()
+    """This kind drops white space, and no piece spans it. Stops and commas part as above."""
+    text = text.lower()
+    if not _JOINED.search(text.replace("\n", " ").replace("  ", " ") if "\n" in text else text):
+        text = text.replace(".", " .").replace(",", " ,")
+    return text.split()
 
 
-#: Pieces kept; beyond it the cache starts anew, so memory is bounded.
-CACHE_PIECES = 500_000
+#: Pieces kept, about 200 bytes each; beyond it the cache starts anew, so memory is bounded.
+CACHE_PIECES = 1_500_000
 
 
 class Encoder:
@@ -60,10 +64,19 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.units = self._rule(json.loads(self.library.to_str()))
         self._forget()
+        if not self.units:
+            return
+        # Units that cannot stand beside the separator are encoded alone.
+        self.gap, self.odd = ("\n", re.compile(r"(?!^ )\s|^ $")) if self.units is _byte_units else (" ~ ", re.compile(r"~|\s"))
+        one = self._whole([self.gap])[0]
+        if len(one) != 1:
+            raise ValueError("the separator is not one id of this tokenizer")
+        self.gap_id = one[0]
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        # The empty unit, which has no ids, is known from the start.
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.first, self.count = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @staticmethod
     def _rule(spec: dict):
@@ -80,65 +93,64 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, units: set[str]) -> None:
-        units.discard("")
-        new = sorted(units - self.number.keys())
-        if not new:
-            return
-        if len(self.number) + len(new) > CACHE_PIECES:
-            self._forget()
-            new = sorted(units)
-        blank = [u for u in new if u.isspace()]
-        new = [u for u in new if not u.isspace()]
-        for u in blank:
-            self._store([u], "")
-        spaced = [u for u in new if u[0] == " "] if self.units is _byte_units else []
-        plain = [u for u in new if u[0] != " "] if spaced else new
-        parts = [(spaced[i : i + 2000], "") for i in range(0, len(spaced), 2000)]
-        parts += [(plain[i : i + 2000], "\n" if self.units is _byte_units else " ") for i in range(0, len(plain), 2000)]
-        for units_, gap in parts:
-            self._store(units_, gap)
-
-    def _store(self, units: list[str], gap: str) -> None:
+        new, odd = [], []
+        for u in units:
+            (odd if self.odd.search(u) else new).append(u)
+        for u in odd:
+            self._store([u])
+        for i in range(0, len(new), 4000):
+            self._store(new[i : i + 4000])
+
+    def _store(self, units: list[str]) -> None:
         """Encode many units as one text, which costs the library far less than one call for
-        each, and part its ids by where they start. Line ends between units belong to none."""
-        size = np.fromiter(map(len, units), np.int64, len(units)) + len(gap)
-        begin = np.cumsum(size) - size
-        e = self.library.encode(gap.join(units), add_special_tokens=False)
-        at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-        owner = np.searchsorted(begin, at, "right") - 1
-        keep = at - begin[owner] < size[owner] - len(gap)
-        count = np.bincount(owner[keep], minlength=len(units))
+        each, and part its ids at the separator's: a piece of its own that is in no unit."""
+        ids = np.array(self._whole([self.gap.join(units)])[0], np.uint32)
+        if len(units) > 1:
+            gaps = np.flatnonzero(ids == self.gap_id)
+            if len(gaps) != len(units) - 1:
+                raise AssertionError("a unit holds the separator")
+            count = np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1
+            ids = np.delete(ids, gaps)
+        else:
+            count = np.array([len(ids)])
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.array(e.ids, np.uint32)[keep]])
+        self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """In groups of about a megabyte, which bounds what is held besides the result."""
+        """In groups of about two megabytes, which bounds what is held besides the result."""
         out: list[np.ndarray] = []
         group, size = [], 0
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 1 << 20:
+            if size > 1 << 21:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > CACHE_PIECES:
+            self._forget()
         cut = [self.units(t) if self.units and not _UNSAFE.search(t) else None for t in texts]
-        self._learn(set(chain.from_iterable(c for c in cut if c)))
-        number = self.number.__getitem__
-        out = []
+        units = list(chain.from_iterable(c for c in cut if c))
+        numbers = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(numbers < 0).tolist()
+        if unknown:
+            self._learn({units[i] for i in unknown})
+            numbers[unknown] = [self.number[units[i]] for i in unknown]
+        count = self.count[numbers]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])
+        out, at = [], 0
         for c, t in zip(cut, texts):
             if c is None:
                 out.append(np.array(self._whole([t])[0], dtype=np.uint32))
-                continue
-            c = [u for u in c if u]
-            n = np.fromiter(map(number, c), np.int64, len(c))
-            count = self.count[n]
-            ends = np.cumsum(count)
-            out.append(self.flat[np.repeat(self.first[n] - ends + count, count) + np.arange(ends[-1] if len(c) else 0)])
+            else:
+                out.append(ids[ends[at] : ends[at + len(c)]])
+                at += len(c)
         return out
 
 
