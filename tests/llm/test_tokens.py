@@ -124,7 +124,7 @@ def test_ledger(spark, docs, hard, empty, tmp_path):
         inserts = ledger.deltas(counted, versions, "old", None, 1)
         assert book.apply("one", inserts) and not book.apply("one", inserts)
         assert book.apply("two", ledger.deltas(counted.where("doc_id % 2 = 0"), versions, "new", "old", 0))
-        assert book.apply("three", ledger.deltas(counted.where("doc_id % 5 = 1"), versions, "new" if False else "old", None, 1).selectExpr("source", "lang", "tokenizer", "-n_docs AS n_docs", "-n_tokens AS n_tokens"))
+        assert book.apply("three", ledger.deltas(counted.where("doc_id % 5 = 1"), versions, "old", None, 1).selectExpr("source", "lang", "tokenizer", "-n_docs AS n_docs", "-n_tokens AS n_tokens"))
         want = defaultdict(lambda: [0, 0])
         for r in df.select("doc_id", "source", "lang", "text").collect():
             long, short = r.text or "", (r.text or "")[:20]
