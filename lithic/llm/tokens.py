@@ -57,9 +57,10 @@ CACHE_PIECES = 1_500_000
 class Encoder:
     """ids(texts) -> one uint32 array per text. Strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int | None = None):
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.units = self._rule(json.loads(self.library.to_str()))
@@ -131,7 +132,7 @@ class Encoder:
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_PIECES:
+        if len(self.number) > (self.cache_pieces or CACHE_PIECES):
             self._forget()
         cut = [self.units(t) if self.units and not _UNSAFE.search(t) else None for t in texts]
         units = list(chain.from_iterable(c for c in cut if c))
@@ -154,14 +155,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
+def encoder(path: str, cache_pieces: int | None = None) -> Encoder:
+    """One encoder for each file, size of cache and Python worker."""
+    key = (path, cache_pieces)
+    if key not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[key] = Encoder(path, cache_pieces)
+    return _encoders[key]
