@@ -20,6 +20,10 @@ from pyspark.sql.window import Window
 from .common import partitions
 
 
+#: Leading bits of a row's digest that order it.
+DIGEST_BITS = 60
+
+
 @dataclass(frozen=True)
 class Mixing:
     #: Weight of each source; None means weights in proportion to size ** temper.
@@ -40,7 +44,7 @@ def shares(weights: Mapping, period: int) -> dict:
     exact = {s: max(1.0, w * period / total) for s, w in weights.items()}
     scale = period / sum(exact.values())
     out = {s: max(1, int(x * scale)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s] * scale) - exact[s] * scale, repr(s)))
+    order = sorted(exact, key=lambda s: int(exact[s] * scale) - exact[s] * scale)
     while (short := period - sum(out.values())) > 0:
         for s in order[:short]:
             out[s] += 1
@@ -78,6 +82,11 @@ def source_sizes(docs: DataFrame, source: str, size: Column) -> dict:
     return {r.s: r.n for r in docs.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).collect()}
 
 
+def listed(weights: Mapping) -> dict:
+    """In order of name, null last: ties between sources must not depend on the order in which their sizes arrive."""
+    return dict(sorted(weights.items(), key=lambda w: (w[0] is None, w[0] or "")))
+
+
 def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str = "text", key: str = "doc_id", carry: list[str] | None = None, ordered: bool = False) -> DataFrame:
     """the_row (all columns of `docs`, or those in `carry`), source, size, block, slot, place.
 
@@ -86,24 +95,29 @@ def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str
     empty, so the others keep their proportions; no row is dropped. A null source is a source
     of its own. Null or empty text has size 1, so that every row advances the schedule; a text
     longer than a block takes the slot of the block it starts in and the following blocks start
-    late. Rows that repeat an id are ordered by a hash of their text. Columns of `docs` cannot clash: they
-    travel inside the_row.
+    late. Rows of a source stand in the order of a digest of seed and id, which any engine can
+    compute and which no number of partitions changes; rows that repeat an id are ordered by a
+    hash of their text. Columns of `docs` cannot clash: they travel inside the_row.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * partitions(spark)
+    # A bucket is a range of digests, so buckets in turn, and rows inside them, are in the order of the digest.
+    bits = max(1, (4 * partitions(spark) - 1).bit_length())
     size = F.greatest(F.coalesce(F.length(F.col(text)), F.lit(0)), F.lit(1)).cast("long")
     weights = p.weights
     if weights is None:
         weights = {s: n**p.temper for s, n in source_sizes(docs, source, size).items()}
     if not weights:
         weights = {None: 1.0}
+    weights = listed(weights)
     period = max(p.period, len(weights))
     share = shares(weights, period)
     slots = schedule(share, period)
     plan = spark.createDataFrame([(s, share[s], slots[s]) for s in share], "plan_source string, share long, slots array<int>")
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("the_row"), F.col(source).cast("string").alias("source"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("tie"), size.alias("size"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(p.seed), "key")).withColumn("bucket", F.pmod("order", F.lit(n_buckets)).cast("int"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(p.seed)), F.col("key").cast("string")))
+    rows = rows.withColumn("order", F.conv(F.substring(digest, 1, DIGEST_BITS // 4), 16, 10).cast("long"))
+    rows = rows.withColumn("bucket", F.shiftright("order", DIGEST_BITS - bits).cast("int"))
     # A hot source is spread over buckets; only bucket totals meet in one place.
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
     # With a null-safe key of two columns that are never null, null sources join too.
@@ -113,7 +127,7 @@ def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str
     inside = Window.partitionBy("named", "bucket").orderBy("order", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("named", named).withColumn("earlier", F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("tie", "order", "key")
     rows = rows.join(bases, ["named", "bucket"])
-    rows = rows.withColumn("start", F.col("base") + F.col("earlier")).withColumn("block", F.floor(F.col("start") / F.lit(p.block)))
+    rows = rows.withColumn("start", F.col("base") + F.col("earlier")).withColumn("block", F.expr(f"start div {p.block}"))
     rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")))
     slot = F.expr(f"(block div share) * {period}L + element_at(slots, CAST(block % share AS INT) + 1)")
     out = rows.select("the_row", "source", "size", "block", slot.alias("slot"), F.expr(f"start % {p.block}").alias("place"))

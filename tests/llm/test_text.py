@@ -162,6 +162,12 @@ def test_mixing_places_every_row_once(docs, hard, empty):
                 assert start == at and block == at // 500
                 assert block * 20 // share[s] <= slot < -(-(block + 1) * 20 // share[s])
                 at += size
+    # The result depends neither on the number of partitions nor on how rows arrive.
+    narrow = docs.sparkSession.newSession()
+    narrow.conf.set("spark.sql.shuffle.partitions", "3")
+    again = narrow.createDataFrame(docs.collect(), docs.schema).repartition(2)
+    place = lambda df: sorted((r.the_row.doc_id, r.slot, r.place) for r in mixing.mix(df, mixing.Mixing(block=500)).collect())
+    assert place(again) == place(docs)
     ordered = mixing.mix(docs, mixing.Mixing(block=500), ordered=True).collect()
     assert [(r.slot, r.place) for r in ordered] == sorted((r.slot, r.place) for r in ordered)
 
