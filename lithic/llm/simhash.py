@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import discard, materialize, text_or_empty, unique_ids
 
 WORDS = 3
 SEED = 42
@@ -128,18 +128,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, all columns. Rows without
-    an id stay only if their component has none either; of rows that repeat an id one stays."""
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = stay.groupBy("doc_id", "component_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    kept = docs.join(stay.select(F.col("doc_id").alias("stay_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
-    return one_of_each(kept) if repeated else kept
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id: that of the smallest hash over its columns. Null ids: one per fingerprint class is beyond an id, so one in all."""
-    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    row = F.struct(order.alias("o"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    picked = docs.select(F.col("doc_id").alias("k"), row.alias("x")).groupBy("k").agg(F.min_by("x", F.col("x.o")).alias("x"))
-    return picked.select(*[F.col("x.r").getField(c).alias(c) for c in docs.columns])
+    """One row of each component, all columns of `docs`: that with the smallest doc_id.
+
+    Null texts are copies of each other. Where ids repeat or are null, rows are told apart by
+    keys of their own, so that unlike rows under one id all stay; a null id counts as the
+    largest, and of equal ids in a component any one row stays. An empty table gives none.
+    Columns of `docs` may have any names.
+    """
+    if unique_ids(docs):
+        found = near_duplicates(docs)
+        # A name that is longer than any of `docs` is none of them.
+        name = "_" * (1 + max(map(len, docs.columns)))
+        stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name))
+        return docs.join(stay, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("the_row")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("id"), row), "keyed")
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("the_row.text").alias("text")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = found.withColumnRenamed("doc_id", "key").join(rows.select("key", "id"), "key").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.key"), "key", "left_semi").select("the_row.*")

@@ -30,7 +30,8 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def plain_components(rows):
+def plain_classes(rows):
+    """Fingerprints, each row's class, and the smallest id of each class (None without any)."""
     fp = [plain_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -47,7 +48,12 @@ def plain_components(rows):
     for i, (d, _) in enumerate(rows):
         least[top(i)].append(d)
     known = {k: min((d for d in v if d is not None), default=None) for k, v in least.items()}
-    return sorted(((d, f"{fp[i]:016x}", known[top(i)]) for i, (d, _) in enumerate(rows)), key=repr)
+    return fp, [top(i) for i in range(len(rows))], known
+
+
+def plain_components(rows):
+    fp, of, known = plain_classes(rows)
+    return sorted(((d, f"{fp[i]:016x}", known[of[i]]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 def pairs(df):
@@ -80,13 +86,19 @@ def test_long_chain_is_one_component(spark):
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 201)}, 1001: 1000}
 
 
-def test_deduplicate_keeps_one_of_each(docs, hard):
-    for df in (docs, hard):
+def test_deduplicate_keeps_one_of_each(docs, hard, empty):
+    named = docs.selectExpr("*", "1 AS key", "2 AS id", "3 AS the_row", "4 AS component_id", "5 AS stay_id", "6 AS fingerprint")
+    for df in (docs, named, hard, hard.selectExpr("*", "2 AS id", "3 AS the_row", "4 AS component_id"), empty):
         kept = simhash.deduplicate(df)
-        assert kept.columns == df.columns
-        ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-        want = {c for _, _, c in plain_components(pairs(df)) if c is not None}
-        assert len(ids) == len(set(ids)) and set(ids) == want
+        assert kept.columns == df.columns and kept.dtypes == df.dtypes
+        rows = pairs(df)
+        # One row of each class, with its smallest id; unlike rows under one id, and without one, all stay.
+        fp, of, known = plain_classes(rows)
+        of_text = {}
+        for (_, text), c in zip(rows, of):
+            of_text[text] = c
+        got = sorted(((of_text[t], d) for d, t in pairs(kept)), key=repr)
+        assert got == sorted(known.items(), key=repr)
 
 
 def plain_removal(rows):
