@@ -13,6 +13,8 @@ linked, and components come from alternating star contraction over the links.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -127,23 +129,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component, all columns of `docs`: that with the smallest doc_id.
 
+    `find` names the component of each row: doc_id and component_id, for unique ids.
+
     Null texts are copies of each other. Where ids repeat or are null, rows are told apart by
     keys of their own, so that unlike rows under one id all stay; a null id counts as the
     largest, and of equal ids in a component any one row stays. An empty table gives none.
     Columns of `docs` may have any names.
     """
     if unique_ids(docs):
-        found = near_duplicates(docs)
+        found = find(docs)
         # A name that is longer than any of `docs` is none of them.
         name = "_" * (1 + max(map(len, docs.columns)))
         stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name))
         return docs.join(stay, F.col("doc_id").cast("long") == F.col(name), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("the_row")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("id"), row), "keyed")
-    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("the_row.text").alias("text")))
+    found = find(rows.select(F.col("key").alias("doc_id"), F.col("the_row.text").alias("text")))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = found.withColumnRenamed("doc_id", "key").join(rows.select("key", "id"), "key").groupBy("component_id").agg(F.min(order).alias("first"))
     return rows.join(first.select("first.key"), "key", "left_semi").select("the_row.*")
