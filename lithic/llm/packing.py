@@ -35,6 +35,8 @@ class Packing:
     #: How many of the cheapest sequences are asked for room before a document is cut.
     tries: int = 8
     with_ids: bool = False
+    #: Number a group's sequences, whole ones included, by the mean place of their tokens in the input.
+    ordered: bool = False
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -81,6 +83,8 @@ class _Packer:
         self.p, self.next = p, partition << 32
         self.rows: list[tuple] = []
         self.rest: list[tuple] = []
+        #: For `ordered`: tokens read, where each of `rest` begins, and the group's rows until they get their numbers.
+        self.read, self.begins, self.held = 0, [], []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         whole = len(ids) // self.p.capacity * self.p.capacity
@@ -89,21 +93,40 @@ class _Packer:
             self.next += 1
         if whole < len(ids):
             self.rest.append((doc_id, whole, ids[whole:].copy(), len(ids)))
-        if len(self.rest) >= self.p.group:
+            self.begins.append(self.read)
+        self.read += len(ids)
+        if max(len(self.rest), len(self.held)) >= self.p.group:
             self.close()
 
-    def put(self, doc_id, start, ids, total, sequence, offset) -> None:
+    def put(self, doc_id, start, ids, total, sequence, offset, begins=None) -> None:
         row = (doc_id, start, len(ids), _crc(ids), total, sequence, offset)
-        self.rows.append((*row, ids.tolist()) if self.p.with_ids else row)
+        row = (*row, ids.tolist()) if self.p.with_ids else row
+        if self.p.ordered:
+            self.held.append(((self.read if begins is None else begins) + start + len(ids) / 2, row))
+        else:
+            self.rows.append(row)
+
+    def number(self) -> None:
+        """Give the group's numbers anew, in the order of the mean place of each sequence's tokens."""
+        weight: dict[int, list[float]] = {}
+        for place, row in self.held:
+            w = weight.setdefault(row[5], [0.0, 0])
+            w[0], w[1] = w[0] + place * row[2], w[1] + row[2]
+        order = sorted(weight, key=lambda seq: (weight[seq][0] / weight[seq][1], seq))
+        name = dict(zip(order, sorted(weight)))
+        self.rows += sorted(((*row[:5], name[row[5]], *row[6:]) for _, row in self.held), key=lambda row: row[5:7])
+        self.held = []
 
     def close(self) -> None:
         last = -1
         for item, at, n, seq, offset in assign([len(x[2]) for x in self.rest], self.p):
             doc_id, start, ids, total = self.rest[item]
-            self.put(doc_id, start + at, ids[at : at + n], total, self.next + seq, offset)
+            self.put(doc_id, start + at, ids[at : at + n], total, self.next + seq, offset, self.begins[item])
             last = max(last, seq)
         self.next += last + 1
-        self.rest = []
+        self.rest, self.begins = [], []
+        if self.p.ordered:
+            self.number()
 
     def take(self, schema: pa.Schema):
         rows, self.rows = self.rows, []
