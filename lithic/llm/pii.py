@@ -7,7 +7,8 @@ ones in every document, and the result passes the same check. Mail addresses and
 which are neither, get keyed digests of the same kind. All other text stays as it is.
 
 Patterns are one alternation, so a text is read twice: once cut at the matches and once
-for them. The two arrays are then woven together.
+for them. The two arrays are then woven together. Digits next to a value must not hide it, so
+only usual groupings of cards are in the alternation; unusual ones are looked for in the rest.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)"
 PHONE = r"(?:(?<![\d+])\+\d{1,3}[ .-]?)?(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])|(?<![\d./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d{2}(?!\d|[./]\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Unbroken, 4-6-4, 4-6-5, or a run of groups of four, in which the cards are found by their check.
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}-\d{6}-\d{4,5}|\d{4} \d{6} \d{4,5}|\d{4}(?:-\d{4}(?![./]?\d)){3,}(?:-\d{1,3}(?![./ -]?\d))?|\d{4}(?: \d{4}(?![./-]?\d)){3,}(?: \d{1,3}(?![./ -]?\d))?)(?!\d)"
+#: Any grouping: looked for in what the other patterns leave.
+LOOSE = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 SECRET = r"(?<![0-9A-Za-z])(?:(?=\d*[a-f])(?=[a-f]*\d)[0-9a-f]{16,64}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])"
 
 #: In order: where two could match at one place, the first counts.
@@ -80,6 +84,26 @@ def _luhn_sum(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (t, j) -> t + IF(j % 2 = 0, {at}, IF({at} > 4, {at} * 2 - 9, {at} * 2)))"
 
 
+def _passes(digits: str) -> str:
+    return f"length({digits}) BETWEEN 13 AND 19 AND {_luhn_sum(digits)} % 10 = 0"
+
+
+def _card(m: str, key: str) -> str:
+    """`m`, whose digits pass the check, with those of its pseudonym."""
+    body = _let("b", _permuted_digits("left(c, length(c) - 1)", "card", key), _let("z", "concat(b, '0')", f"concat(b, (10 - {_luhn_sum('z')} % 10) % 10)"))
+    return _let("c", _digits(m), _refill(m, body))
+
+
+def _cards(m: str, key: str) -> str:
+    """`m` with the cards in it replaced: windows of four groups of four from the left, or else the whole."""
+    window = f"substr({m}, 5 * g + 1, 19)"
+    valid = _let("y", window, f"length(y) = 19 AND {_let('e', _digits('y'), _passes('e'))}")
+    step = f"CASE WHEN a.s > 0 THEN named_struct('t', a.t, 's', a.s - 1) WHEN {valid} THEN named_struct('t', concat(a.t, {_let('y', window, _card('y', key))}, substr({m}, 5 * g + 20, 1)), 's', 3) ELSE named_struct('t', concat(a.t, substr({m}, 5 * g + 1, 5)), 's', 0) END"
+    runs = f"aggregate(sequence(0, CAST((length({m}) - 1) div 5 AS INT)), named_struct('t', '', 's', 0), (a, g) -> {step}, a -> a.t)"
+    run = f"{m} rlike '^[0-9]{{4}}([ -][0-9]{{4}}){{3}}'"
+    return _let("r", f"IF({run}, {runs}, {m})", f"IF(r = {m} AND {_let('e', _digits(m), _passes('e'))}, {_card(m, key)}, r)")
+
+
 def pseudonym(m: str, key: str) -> str:
     """SQL for the pseudonym of the match `m`; the match itself where its check fails."""
 
@@ -92,8 +116,7 @@ def pseudonym(m: str, key: str) -> str:
     address = _let("a", feistel(packed, "65536", "65536", "address", key), "concat_ws('.', a div 16777216, a div 65536 % 256, a div 256 % 256, a % 256)")
     phone = _refill(m, _let("p", _digits(m), f"concat(left(p, length(p) - 10), {_permuted_digits('right(p, 10)', 'phone', key)})"))
     social = _refill(m, _permuted_digits(_digits(m), "social", key))
-    body = _let("b", _permuted_digits("left(c, length(c) - 1)", "card", key), _let("z", "concat(b, '0')", f"concat(b, (10 - {_luhn_sum('z')} % 10) % 10)"))
-    card = _let("c", _digits(m), f"IF({_luhn_sum('c')} % 10 = 0, {_refill(m, body)}, {m})")
+    card = _cards(m, key)
     iso = f"IF(substr({m}, 5, 1) = '-', {m}, concat_ws('-', right({m}, 4), substr({m}, 4, 2), left({m}, 2)))"
     days = f"datediff(try_cast({iso} AS DATE), DATE '{FIRST_DAY}')"
     moved = f"date_add(DATE '{FIRST_DAY}', CAST({feistel('n', str(DAY_SIDE), str(DAY_SIDE), 'date', key)} AS INT))"
@@ -119,8 +142,13 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     # The whole row travels as one struct, so no column of the input can clash with these names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("the_row"), F.col(f"`{column}`").alias(inner))
     rows = rows.withColumn("found", F.expr(f"regexp_extract_all({inner}, {pattern}, 0)"))
-    rest = f"split({inner}, {pattern}, -1)"
-    woven = f"concat_ws('', flatten(zip_with({rest}, transform(found, m -> {pseudonym('m', key)}), (a, b) -> array(a, coalesce(b, '')))))"
-    out = rows.withColumn("new_text", F.expr(f"IF(size(found) > 0, {woven}, {inner})"))
+    loose = _quote(LOOSE)
+    # Only pieces that hold a valid card of unusual grouping are taken apart once more.
+    rows = rows.withColumn("rest", F.expr(f"IF(size(found) > 0, split({inner}, {pattern}, -1), array({inner}))"))
+    again = _let("l", f"regexp_extract_all(p, {loose}, 0)", f"concat_ws('', flatten(zip_with(split(p, {loose}, -1), transform(l, x -> IF({_let('e', _digits('x'), _passes('e'))}, {_card('x', key)}, x)), (h, o) -> array(h, coalesce(o, '')))))")
+    rows = rows.withColumn("rest_new", F.expr(f"transform(rest, p -> IF(p rlike {loose}, {again}, p))"))
+    woven = f"concat_ws('', flatten(zip_with(rest_new, transform(found, m -> {pseudonym('m', key)}), (a, b) -> array(a, coalesce(b, '')))))"
+    out = rows.withColumn("new_text", F.expr(f"IF({inner} IS NULL, NULL, {woven})"))
+    unusual = f"aggregate(rest, 0, (n, p) -> n + IF(p rlike {loose}, size(filter(regexp_extract_all(p, {loose}, 0), x -> {_let('e', _digits('x'), _passes('e'))})), 0))"
     columns = [(F.col("new_text") if c == column else F.col("the_row").getField(c)).alias(c) for c in docs.columns]
-    return out.select(*columns, *([F.expr("coalesce(size(found), 0)").alias(count)] if count else []))
+    return out.select(*columns, *([F.expr(f"coalesce(size(found), 0) + coalesce({unusual}, 0)").alias(count)] if count else []))
