@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,25 +19,87 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is named (tests on one
-    machine), a temporary one, which is then set so that all of a session's jobs agree."""
+    """The folder named in spark.checkpoint.dir. Only where none is named and all executors are
+    threads of this process (tests), a temporary one, which is then set so that all of a session's
+    jobs agree; on a cluster files in a local folder would be lost to the other executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="lithic-")
         atexit.register(shutil.rmtree, local, True)
         spark.conf.set("spark.checkpoint.dir", named := f"file://{local}")
     return named.rstrip("/")
 
 
+class Scope:
+    """Scratch folders that go when the scope ends, but for those that are kept."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave the files behind `df` to the scope around this one."""
+        self.paths.pop(df.scratch, None)
+        _scopes[max(0, _scopes.index(self) - 1)].paths[df.scratch] = df.sparkSession
+        return df
+
+    def close(self) -> None:
+        for path, spark in self.paths.items():
+            remove(spark, path)
+        self.paths = {}
+
+
+#: The outermost scope ends with the process: results that callers read lie there.
+_scopes = [Scope()]
+
+
+@atexit.register
+def _last() -> None:
+    # The session may have been stopped already, and its JVM with it.
+    with contextlib.suppress(Exception):
+        _scopes[0].close()
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[Scope]:
+    """Remove at the end what is materialized inside and not kept."""
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        own.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lithic/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lithic/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].paths[path] = spark
+    return path
+
+
+#: Spark then deletes the shuffle files of an execution when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside is not executed again, so its shuffle files need not outlive it."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no more than the tasks it ran."""
+    """Write `df` to the shared folder and read it back: lineage ends there, a lost executor
+    costs no more than the tasks it ran, and the shuffle files behind it are freed."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
@@ -44,6 +109,8 @@ def discard(*frames: DataFrame) -> None:
     """Delete the files behind materialized frames that nothing will read again."""
     for df in frames:
         remove(df.sparkSession, df.scratch)
+        for scope in _scopes:
+            scope.paths.pop(df.scratch, None)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,15 +130,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done: its cleaner acts when the
-    driver's garbage is collected, which else may be long after the disk is full."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unique_ids(docs: DataFrame) -> bool:
     """Whether every row has a doc_id of its own."""
     ids = docs.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("none")).first()

@@ -8,7 +8,8 @@ fingerprint stands in its two cells and asks there and in the cells one step up
 of a step is enough, the other asks back). What meets is verified on the bits.
 
 Texts with equal fingerprints are one class before all that; classes, not documents, are
-linked, and components come from alternating star contraction over the links.
+linked: first with a few hubs of their cells, then with classes that this left apart.
+Components come from alternating star contraction over the links.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty, unique_ids
+from .common import discard, materialize, scratch_scope, text_or_empty, unique_ids
 
 WORDS = 3
 SEED = 42
 MAX_BITS = 3
+#: Another order of fingerprints, for a third hub.
+TURN = 0x2545F4914F6CDD1D
 #: Rows of 64 bits that are counted at once.
 BLOCK = 1 << 14
 
@@ -66,29 +69,51 @@ def cell(fp: Column, half: int) -> Column:
     return x - F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555))
 
 
+def _cells(classes: DataFrame) -> DataFrame:
+    both = F.array(*[F.struct(F.lit(i).alias("half"), cell(F.col("fp"), i).alias("cell")) for i in (0, 1)])
+    return classes.select(*classes.columns, F.explode(both).alias("c")).select(*classes.columns, "c.half", "c.cell")
+
+
+def hub_links(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of a cell's smallest, its largest and a third fingerprint with those of
+    the same cell within MAX_BITS: enough to join most of a large family without all of its pairs."""
+    home = _cells(classes.select("fp"))
+    turned = F.col("fp").bitwiseXOR(F.lit(TURN))
+    # Written out, so that a crowded cell's side of the join can be split.
+    hubs = materialize(home.groupBy("half", "cell").agg(F.min("fp").alias("m0"), F.max("fp").alias("m1"), F.min(turned).bitwiseXOR(F.lit(TURN)).alias("m2")).where("m0 < m1"), "hubs")
+    met = home.join(hubs, ["half", "cell"]).select("fp", F.explode(F.array("m0", "m1", "m2")).alias("hub"))
+    met = met.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= MAX_BITS))
+    return met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
+
+
 def links(classes: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of classes whose fingerprints differ in 1 to MAX_BITS bits. `classes`: node, fp, unique fp."""
-    cells = F.array(*[F.struct(F.lit(i).alias("half"), cell(F.col("fp"), i).alias("cell")) for i in (0, 1)])
-    home = classes.select("node", "fp", F.explode(cells).alias("c")).select("node", "fp", "c.half", "c.cell")
+    """Pairs (u, v), u > v, of roots that have members whose fingerprints differ in 1 to MAX_BITS
+    bits. `classes`: fp, unique, and root; members of one root are not paired."""
+    home = _cells(classes.select("fp", "root"))
     # One step up in a segment is a carry-free increment of its field, possible below a count of 2.
     up = "transform(filter(sequence(0, 15), k -> shiftright(cell, 2 * k) & 3 < 2), k -> cell + shiftleft(1L, 2 * k))"
-    asks = home.select(F.col("node").alias("n2"), F.col("fp").alias("fp2"), F.col("half").alias("h2"), F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), F.expr(up))).alias("ask"))
+    asks = home.select(F.col("root").alias("root2"), F.col("fp").alias("fp2"), F.col("half").alias("h2"), F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), F.expr(up))).alias("ask"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS
     once = (F.col("ask") != F.col("own")) | (F.col("fp") < F.col("fp2"))
-    met = home.join(asks, (F.col("cell") == F.col("ask")) & (F.col("half") == F.col("h2")) & near & once)
-    return met.select(F.greatest("node", "n2").alias("u"), F.least("node", "n2").alias("v")).distinct()
+    met = home.join(asks, (F.col("cell") == F.col("ask")) & (F.col("half") == F.col("h2")) & (F.col("root") != F.col("root2")) & near & once)
+    return met.select(F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")).distinct()
+
+
+def with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`pairs` (a, b) with m, the least of a and all its b; and the written table of these minima."""
+    low = materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
+    return pairs.join(low, F.col("a") == F.col("k")), low
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u > v): root is the smallest node it can reach.
 
     Large and small stars in turn (Kiveris et al., 2014), each written out, until nothing changes.
-    No step gathers a neighbourhood: minima are partial aggregates, the rest are joins.
+    No step gathers a neighbourhood: minima are partial aggregates, the rest are joins. Minima
+    are written out before they are joined: a join with an aggregate right above its exchange
+    could not be split at a node that has a large part of all edges.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-
     def state(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -96,37 +121,52 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        large = both.join(least(both), F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        low = large.select(F.col("u").alias("a"), F.col("v").alias("b"))
-        small = low.join(least(low), F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "small")
-        discard(now, large)
-        now, before = small, seen
+        met, low = with_least(both)
+        large = materialize(met.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(now, low)
+        met, low = with_least(large.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        small = met.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now, before = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "small"), seen
+        discard(large, low)
         seen = state(now)
         if seen == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.scratch = now.scratch
+    return out
+
+
+def rooted(classes: DataFrame) -> DataFrame:
+    """`classes` (fp, unique, and more) with root, the same for all that links connect.
+
+    Hubs of each cell come first; then only classes of different roots are paired, so a dense
+    family gives about three links a member and not all of its pairs.
+    """
+    first = components(hub_links(classes))
+    near = materialize(classes.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near")
+    second = components(links(near)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return near.join(second, "root", "left").select(*classes.columns, F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows that repeat a
-    doc_id are judged each; a null doc_id takes part, but cannot be a component's id, so a
-    component of null ids alone has a null one. An empty table gives no rows.
-    Other columns are not read.
+    Null and empty texts have fingerprint zero and link like any other. Texts are taken whole,
+    however long. Rows that repeat a doc_id, or whole rows, are judged each; a null doc_id takes
+    part, but cannot be a component's id, so a component of null ids alone has a null one. Ties
+    cannot arise: ids alone decide. An empty table gives no rows. Other columns, whatever their
+    names, are not read.
     """
-    own = materialize(fingerprints(docs), "fingerprints")
-    # A class without any id still links others; it is named by a number no id can reach from above.
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = materialize(classes.select("fp", "first", F.col("fp").alias("node")), "classes")
-    star = components(links(classes.select("node", "fp")))
-    # Components are found between fingerprints; the smallest id of each is a partial aggregate.
-    rooted = classes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch_scope() as scope:
+        own = materialize(fingerprints(docs), "fingerprints")
+        # A class without any id still links others; its root is a fingerprint.
+        classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        tops = materialize(rooted(classes), "tops")
+        # Components are found between fingerprints; the smallest id of each is a partial aggregate.
+        ids = materialize(tops.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
+        named = tops.select("fp", "root").join(ids, "root").select("fp", "component_id")
+        out = own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return scope.keep(materialize(out, "components"))
 
 
 def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, remove, scratch_path, text_or_empty, unique_ids
+from .common import discard, materialize, remove, scratch_path, text_or_empty, unique_ids
 
 WINDOW = 35
 GRAM = 6
@@ -206,26 +206,24 @@ def find(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     index = RunIndex(spark, scratch_path(spark, "index"))
     for k in range(batches):
         run = index.ingest(table.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k))
-        release(spark)
+    
         index.compact(run)
-        release(spark)
+    
     found = materialize(index.repeated(), "repeated")
     remove(spark, index.path)
-    release(spark)
     whole = found.where("n > 1").select("fp", "span")
     marks = places(table).join(whole, ["fp", "span"]).select("key", "at", F.lit(ALL).cast("long").alias("mask"))
     marks = materialize(marks, "whole")
-    release(spark)
+
     # Several spans around one gram: the place of each is in the index, and one stands for all equal ones.
     windows = materialize(window_rows(docs, found.where("spans > 1").select("key", "at", "n")), "windows")
-    release(spark)
+
     again = windows.groupBy("fp", "window").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "window")
     single = windows.where("n = 1").join(again, ["fp", "window"])
     part = single.groupBy("key", "at").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
     listed = marks.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     listed = materialize(listed, "marks")
     discard(found, marks, windows)
-    release(spark)
     return table, listed
 
 

@@ -76,11 +76,35 @@ def test_links_lose_nothing(spark):
             for b in range(1 + k % 4):
                 x ^= 1 << (k * 7 + b * 11) % 64
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    df = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
+    df = spark.createDataFrame([(f, f) for f in signed], "fp long, root long")
     want = {(max(a, b), min(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     assert want and {(r.u, r.v) for r in simhash.links(df).collect()} == want
 
 
+def test_a_dense_family_needs_few_links(spark):
+    """All fingerprints within one bit of another: hubs give a few links a member, and the rest is found."""
+    import itertools
+
+    base = 0x0F1E2D3C4B5A6978
+    family = sorted({base} | {base ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(64), 2)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in family]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert simhash.hub_links(df).count() <= 6 * len(family)
+    assert len({r.root for r in simhash.rooted(df).collect()}) == 1
+
+
+def test_a_star_of_most_edges_is_split(spark):
+    wide = spark.newSession()
+    for k, v in {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.enabled": "false"}.items():
+        wide.conf.set(f"spark.sql.{k}", v)
+    pairs = wide.range(0, 200_000, numPartitions=8).selectExpr("IF(id % 50 = 0, id, 7) AS a", "id + 1000000 AS b")
+    met, _ = simhash.with_least(pairs)
+    assert met.where("m <= a").groupBy().count().first()[0] == 200_000
+    met.write.format("noop").mode("overwrite").save()
+    met.collect()
+    assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1001, 1000)], "u long, v long")
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 201)}, 1001: 1000}
