@@ -1,22 +1,29 @@
 """Repeated passages through a log-structured index of window fingerprints.
 
-Every window of 35 words is represented by its anchor: the six-word gram of smallest hash
-in it. Equal windows have equal anchors, and about one position in fifteen is an anchor,
+Every window of 35 words is represented by its anchor: the twelve-word gram of smallest hash
+in it. Equal windows have equal anchors, and about one position in twelve is an anchor,
 so only these are indexed: fingerprint of the gram, hash of the anchor's span (all windows
 that it stands for), number of occurrences, and one place.
 
-The index is a list of immutable runs, each sorted by fingerprint. A batch's run is
-merge-joined with the history and the two are compacted into the next base. Afterwards
+The index is a folder of immutable runs, stored in buckets of (fingerprint, span) and sorted
+by it, and a log of manifests that says which runs hold. A batch's run is merge-joined with
+the runs of the history, in which only the batch moves; it is committed by the next manifest,
+and as many runs of one level as the fan-out are merged to one of the next level. Afterwards
 
 * a span that occurs twice is repeated as a whole, wherever it occurs;
 * where one gram has several different spans, their windows are compared one by one.
 
-Both comparisons are made on 64-bit hashes among rows of equal 64-bit fingerprints.
+Both comparisons are first made on 64-bit hashes. What they find is then verified on the words.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, remove, scratch_path, text_or_empty, unique_ids
+from .common import discard, freed_shuffles, materialize, partitions, remove, scratch_path, scratch_scope, text_or_empty, unique_ids
 
 WINDOW = 35
-GRAM = 6
+#: Words of an anchor. Shorter ones recur by chance in unlike passages, whose windows then must be compared.
+GRAM = 12
 _SPAN = WINDOW - GRAM + 1  # grams in a window; an anchor stands for at most as many windows
 
 _GRAM_BASE = 0x9E3779B97F4A7C15
@@ -51,8 +59,9 @@ class _Powers:
 class Anchored:
     """The anchors of one text's words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], bits: int = 64):
         n = self.n = len(words)
+        self.bits = np.uint64((1 << bits) - 1)
         self.windows = max(0, n - WINDOW + 1)
         if not self.windows:
             self.first = self.last = np.empty(0, np.int64)
@@ -79,12 +88,15 @@ class Anchored:
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of word ranges, the same wherever the words stand."""
         x = (self.prefix[end] - self.prefix[begin]) * _Powers.down[begin] + (end - begin).astype(np.uint64)
-        return x.view(np.int64)
+        return (x & self.bits).view(np.int64)
 
     def window_hashes(self, anchor: int) -> np.ndarray:
         begin = np.arange(self.first[anchor], self.last[anchor] + 1)
         return self.hashes(begin, begin + WINDOW)
 
+    def windows_of(self, anchor: int) -> int:
+        return int(self.last[anchor] - self.first[anchor]) + 1
+
     def covered(self, marks: list[tuple[int, int]]) -> np.ndarray:
         """Which words lie in marked windows; a mark is an anchor and a bit for each of its windows."""
         edge = np.zeros(self.n + 1, np.int64)
@@ -96,11 +108,11 @@ class Anchored:
         return np.cumsum(edge)[:-1] > 0
 
 
-#: A mark for all windows of an anchor.
-ALL = (1 << _SPAN) - 1
+#: A mark for all windows of an anchor; it has one bit more than there are windows, which tells it from a mask of each of them.
+ALL = (1 << _SPAN + 1) - 1
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
+def anchor_table(docs: DataFrame, bits: int = 64) -> DataFrame:
     """key, n_words, sha256 of all words, and the anchors in order."""
     anchor = pa.struct([("fp", pa.int64()), ("span", pa.int64())])
 
@@ -111,7 +123,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 counts, shas, sizes, fps, spans = [], [], [0], [], []
                 for t in texts.to_pylist():
                     words = t.encode().split()
-                    a = Anchored(words)
+                    a = Anchored(words, bits)
                     counts.append(a.n)
                     shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     sizes.append(sizes[-1] + len(a.fp))
@@ -127,57 +139,170 @@ def places(anchors: DataFrame) -> DataFrame:
     return anchors.select("key", F.posexplode("anchors").alias("at", "a")).select("a.fp", "a.span", "key", "at")
 
 
-RUN = "fp long, span long, n long, key long, at int"
+@dataclass(frozen=True)
+class Run:
+    """Occurrences in the batches from `low` to `high`, both included."""
+
+    name: str
+    level: int
+    low: int
+    high: int
+
+
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside rely on the order in a bucket that is one file, so that history is not sorted again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class RunIndex:
-    """Runs of (fp, span, n, key, at), each sorted by (fp, span) and never changed."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.count, self.base = spark, path, 0, None
-
-    def _write(self, df: DataFrame) -> str:
-        self.count += 1
-        to = f"{self.path}/run-{self.count:06d}"
-        df.sortWithinPartitions("fp", "span").write.parquet(to)
-        return to
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
-
-    def ingest(self, batch: DataFrame) -> str:
-        """Write a batch's run: occurrences summed before the exchange, so a hot key is one row of each task."""
-        own = places(batch).groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("at").alias("at"))
-        return self._write(own)
-
-    def matches(self, run: str) -> DataFrame:
-        """Spans of a run that the history holds as well: an incremental batch's duplicates."""
-        if self.base is None:
-            return self._read(run).limit(0)
-        return self._read(run).join(self._read(self.base).select("fp", "span").hint("merge"), ["fp", "span"], "left_semi")
-
-    def compact(self, run: str) -> None:
-        """Merge a run into the base; the old ones go once the new one is complete."""
-        if self.base is None:
-            self.base = run
-            return
-        new, old = self._read(run), self._read(self.base).select("fp", "span", F.col("n").alias("n0"), F.col("key").alias("key0"), F.col("at").alias("at0"))
-        both = new.join(old.hint("merge"), ["fp", "span"], "full_outer")
-        # A place is taken whole from one side.
-        place = lambda c: F.when(F.col("key0").isNull(), F.col(c)).otherwise(F.col(f"{c}0")).alias(c)
-        merged = self._write(both.select("fp", "span", (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("n"), place("key"), place("at")))
-        remove(self.spark, run)
-        remove(self.spark, self.base)
-        self.base = merged
-
-    def repeated(self) -> DataFrame:
-        """Rows whose gram occurs more than once, with the number of its different spans."""
-        rows = self._read(self.base)
-        grams = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("total")).where("total > 1").select("fp", "spans")
-        return rows.join(grams, "fp")
-
-
-def window_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Runs of (fp, span, n, key, at) under a folder that all executors share.
+
+    The state is in the folder: any session that opens it sees what was committed. Batches are
+    numbered from 0. One writer at a time: of two that commit the same version one fails.
+    A run that no manifest names (its writer broke off) is not part of the index and is deleted
+    by a later commit. A row is rewritten at most once for each level, so at most log(batches)
+    to the base `fanout` times in all.
+    """
+
+    COLUMNS = "fp BIGINT, span BIGINT, n BIGINT, key BIGINT, at INT"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4):
+        """Open the index at `path`, or begin one; `buckets` and `fanout` hold for a new one only."""
+        self.spark, self.path, self.tables = spark, path.rstrip("/"), set()
+        jvm = spark._jvm
+        self._at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        self.fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+        version, found = self._newest()
+        if found is None:
+            found = {"buckets": buckets or partitions(spark), "fanout": fanout, "next": 0, "runs": []}
+            self._put(version + 1, found)
+        self._take(found)
+
+    # --- the log of manifests
+
+    def _versions(self) -> list[int]:
+        folder = self._at("manifest")
+        return sorted(int(x.getPath().getName()) for x in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
+
+    def _newest(self) -> tuple[int, dict | None]:
+        """The newest version of all, and the newest manifest that is whole: one that broke off has no end mark."""
+        versions = self._versions()
+        for v in reversed(versions):
+            stream = self.fs.open(self._at("manifest", f"{v:012d}"))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if text.endswith("\n"):
+                return versions[-1], json.loads(text)
+        return (versions[-1] if versions else 0), None
+
+    def _put(self, version: int, state: dict) -> None:
+        """Creating the file fails if another writer has made it."""
+        out = self.fs.create(self._at("manifest", f"{version:012d}"), False)
+        out.write(bytearray(json.dumps(state).encode() + b"\n"))
+        out.close()
+
+    def _take(self, state: dict) -> None:
+        self.buckets, self.fanout, self.next = state["buckets"], state["fanout"], state["next"]
+        self.runs = [Run(**r) for r in state["runs"]]
+
+    def _commit(self, runs: list[Run], following: int) -> None:
+        version, now = self._newest()
+        if now["next"] != self.next or [Run(**r) for r in now["runs"]] != self.runs:
+            raise RuntimeError("the index was changed by another writer")
+        state = {"buckets": self.buckets, "fanout": self.fanout, "next": following, "runs": [r.__dict__ for r in runs]}
+        self._put(version + 1, state)
+        self._take(state)
+        self.vacuum()
+
+    def vacuum(self) -> None:
+        """Delete runs that the newest manifest does not name, and manifests before it."""
+        kept = {r.name for r in self.runs}
+        for x in self.fs.listStatus(self._at("runs")) if self.fs.exists(self._at("runs")) else []:
+            if x.getPath().getName() not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(x.getPath().getName())}")
+                self.fs.delete(x.getPath(), True)
+        for v in self._versions()[:-1]:
+            self.fs.delete(self._at("manifest", f"{v:012d}"), False)
+
+    # --- runs
+
+    def _table(self, name: str) -> str:
+        return f"lithic_{name.replace('-', '_')}"
+
+    def read(self, run: Run) -> DataFrame:
+        """A run as a bucketed table, so that a join on (fp, span) need not move it."""
+        table = self._table(run.name)
+        self.tables.add(table)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (fp, span) SORTED BY (fp, span) INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs/{run.name}'")
+        return self.spark.table(table)
+
+    def _write(self, df: DataFrame, run: Run) -> Run:
+        table = self._table(run.name)
+        with freed_shuffles(self.spark), sorted_buckets(self.spark):
+            self.tables.add(table)
+            df.write.format("parquet").bucketBy(self.buckets, "fp", "span").sortBy("fp", "span").option("path", f"{self.path}/runs/{run.name}").saveAsTable(table)
+        return run
+
+    def forget(self) -> None:
+        """Drop this session's names for runs; the files stay."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = set()
+
+    def ingest(self, batch: int, found: DataFrame) -> Run | None:
+        """Write the run of batch number `batch` (`found`: fp, span, key, at); None if it is committed already.
+
+        Occurrences are summed before the exchange, so a hot key is one row of each task."""
+        if batch < self.next:
+            return None
+        if batch > self.next:
+            raise ValueError(f"the next batch is {self.next}")
+        own = found.groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("at").alias("at"))
+        own = own.repartition(self.buckets, "fp", "span").sortWithinPartitions("fp", "span")
+        return self._write(own, Run(f"run-{uuid.uuid4().hex}", 0, batch, batch))
+
+    def matches(self, run: Run) -> DataFrame:
+        """Rows of a run whose spans the history holds as well, with n0, key0, at0 of each run of it that does."""
+        new = self.read(run)
+        out = None
+        for old in self.runs:
+            there = self.read(old).select("fp", "span", F.col("n").alias("n0"), F.col("key").alias("key0"), F.col("at").alias("at0"))
+            met = new.join(there.hint("merge"), ["fp", "span"])
+            out = met if out is None else out.unionByName(met)
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("n0", "long"), ("key0", "long"), ("at0", "int"))]
+        with sorted_buckets(self.spark):
+            return materialize(new.select("*", *none).where("false") if out is None else out, "matches")
+
+    def commit(self, run: Run) -> None:
+        """Make a batch's run part of the index, and merge runs of a full level."""
+        self._commit([*self.runs, run], run.high + 1)
+        while full := [r for r in self.runs if sum(r.level == q.level for q in self.runs) >= self.fanout]:
+            full = [r for r in full if r.level == full[0].level]
+            merged = self._write(self._merged(full), Run(f"run-{uuid.uuid4().hex}", full[0].level + 1, min(r.low for r in full), max(r.high for r in full)))
+            self._commit([merged, *[r for r in self.runs if r not in full]], self.next)
+
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        out = self.read(runs[0])
+        for r in runs[1:]:
+            old = self.read(r).select("fp", "span", F.col("n").alias("n0"), F.col("key").alias("key0"), F.col("at").alias("at0"))
+            # A place is taken whole from one side.
+            place = lambda c: F.when(F.col("key").isNull(), F.col(f"{c}0")).otherwise(F.col(c)).alias(c)
+            out = out.join(old.hint("merge"), ["fp", "span"], "full_outer").select("fp", "span", (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("n"), place("key"), place("at"))
+        return out
+
+    def rows(self) -> DataFrame:
+        """Every span once, with all its occurrences."""
+        return self._merged(self.runs) if self.runs else self.spark.createDataFrame([], self.COLUMNS)
+
+
+def window_rows(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
     """(fp, window, n, key, at, place) for every window of the wanted anchors (key, at, n)."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
     names = ["fp", "window", "n", "key", "at", "place"]
@@ -188,7 +313,7 @@ def window_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 out: list[list] = [[] for _ in names]
                 for key, text, marks in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
-                    a = Anchored(text.encode().split())
+                    a = Anchored(text.encode().split(), bits)
                     for m in marks:
                         w = a.window_hashes(m["at"])
                         for c, v in zip(out, (np.full(len(w), a.fp[m["at"]]), w, np.full(len(w), m["n"]), np.full(len(w), key), np.full(len(w), m["at"]), np.arange(len(w)))):
@@ -199,32 +324,85 @@ def window_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("key", "text", "wanted").mapInArrow(run, "fp long, window long, n long, key long, at int, place int")
 
 
-def find(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+def claimed_words(docs: DataFrame, claims: DataFrame, bits: int = 64) -> DataFrame:
+    """(fp, hash, words, key, at, mask) for each claim (key, at, mask): the words of a whole span, or of each window in the mask."""
+    per_text = claims.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("claims"))
+    names = ["fp", "hash", "words", "key", "at", "mask"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                out = []
+                for key, text, marks in zip(*(c.to_pylist() for c in b.slice(at, 64).columns)):
+                    words = text.encode().split()
+                    a = Anchored(words, bits)
+                    for m in marks:
+                        k, mask = m["at"], m["mask"]
+                        begin, fp = int(a.first[k]), int(a.fp[k])
+                        if mask == ALL:
+                            out.append((fp, int(a.span[k]), b" ".join(words[begin : int(a.last[k]) + WINDOW]).decode(), key, k, ALL))
+                            continue
+                        hashes = a.window_hashes(k)
+                        out += [(fp, int(hashes[i]), b" ".join(words[begin + i : begin + i + WINDOW]).decode(), key, k, 1 << i) for i in range(len(hashes)) if mask >> i & 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+
+    rows = docs.select("key", text_or_empty().alias("text")).join(per_text, "key")
+    return rows.select("key", "text", "claims").mapInArrow(run, "fp long, hash long, words string, key long, at int, mask long")
+
+
+def verified(docs: DataFrame, table: DataFrame, whole: DataFrame, part: DataFrame, bits: int = 64) -> DataFrame:
+    """Marks (key, at, mask) for `whole` (key, at, ALL) and for the rows of `part` (key, at, mask, n) with n = 1, on the words.
+
+    Where all words under one hash are equal, the least and the greatest of them show it, which
+    are found before the exchange. Grams with a hash that stands for unlike words, if there are
+    any, have all of their windows compared word by word instead.
+    """
+    claims = whole.unionByName(part.select("key", "at", "mask"))
+    words = claimed_words(docs, claims, bits)
+    unlike = words.groupBy("fp", "hash").agg(F.min("words").alias("a"), F.max("words").alias("z")).where("a != z").select("fp").distinct()
+    unlike = materialize(unlike, "unlike")
+    marks = whole.unionByName(part.where("n = 1").select("key", "at", "mask"))
+    if unlike.isEmpty():
+        return marks
+    again = materialize(places(table).join(unlike, "fp").select("key", "at"), "again")
+    each = materialize(claimed_words(docs, again.withColumn("mask", F.lit(ALL >> 1).cast("long")), bits), "each")
+    same = materialize(each.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("words"), "same")
+    exact = each.join(same, "words").groupBy("key", "at").agg(F.expr("bit_or(mask)").alias("mask"))
+    return marks.join(again, ["key", "at"], "left_anti").unionByName(exact)
+
+
+def find(docs: DataFrame, batches: int = 2, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(anchor table, marks) of `docs` (key, text): marks are key and a list of (at, mask)."""
     spark = docs.sparkSession
-    table = materialize(anchor_table(docs), "anchors")
-    index = RunIndex(spark, scratch_path(spark, "index"))
+    table = materialize(anchor_table(docs, bits), "anchors")
+    path = scratch_path(spark, "index")
+    index = RunIndex(spark, path, fanout=2)
+    met = []
     for k in range(batches):
-        run = index.ingest(table.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k))
-    
-        index.compact(run)
-    
-    found = materialize(index.repeated(), "repeated")
-    remove(spark, index.path)
-    whole = found.where("n > 1").select("fp", "span")
-    marks = places(table).join(whole, ["fp", "span"]).select("key", "at", F.lit(ALL).cast("long").alias("mask"))
-    marks = materialize(marks, "whole")
-
+        run = index.ingest(k, places(table.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k)))
+        # Repeated are spans that the history holds and those that the batch itself holds twice.
+        met += [index.matches(run).select("fp", "span"), materialize(index.read(run).where("n > 1").select("fp", "span"), "twice")]
+        index.commit(run)
+    whole = met[0]
+    for m in met[1:]:
+        whole = whole.union(m)
+    whole = materialize(whole.distinct(), "repeated")
+    marks = materialize(places(table).join(whole, ["fp", "span"]).select("key", "at", F.lit(ALL).cast("long").alias("mask")), "whole")
+    discard(whole)
     # Several spans around one gram: the place of each is in the index, and one stands for all equal ones.
-    windows = materialize(window_rows(docs, found.where("spans > 1").select("key", "at", "n")), "windows")
-
-    again = windows.groupBy("fp", "window").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "window")
-    single = windows.where("n = 1").join(again, ["fp", "window"])
-    part = single.groupBy("key", "at").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
-    listed = marks.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    listed = materialize(listed, "marks")
-    discard(found, marks, windows)
-    return table, listed
+    grams = materialize(index.rows().groupBy("fp").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("fp"), "grams")
+    several = materialize(index.rows().join(grams, "fp").select("key", "at", "n"), "several")
+    index.forget()
+    remove(spark, path)
+    windows = materialize(window_rows(docs, several, bits), "windows")
+    again = materialize(windows.groupBy("fp", "window").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "window"), "again")
+    part = windows.join(again, ["fp", "window"]).groupBy("key", "at").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"), F.max("n").alias("n"))
+    part = materialize(part, "part")
+    discard(grams, several, windows, again)
+    sure = verified(docs, table, marks, part, bits)
+    listed = sure.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    return table, materialize(listed, "marks")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -238,15 +416,22 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 RESULT = "key long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; `with_text` adds the kept words, joined by spaces.
 
     Null text has no words. A text of fewer than 35 words has no window and keeps all its
-    words. Rows that repeat an id are texts of their own, and repeat each other's windows if
-    the texts are equal. An empty table gives no rows. Other columns are not read.
+    words. Texts are taken whole, however long. Rows that repeat an id are texts of their own, and
+    repeat each other's windows if the texts are equal; a null id stays null. Ties cannot arise:
+    every occurrence of a repeated window goes. An empty table gives no rows. Other columns,
+    whatever their names, are not read. `bits` below 64 make hashes collide, to test that words decide.
     """
+    with scratch_scope() as scope:
+        return scope.keep(materialize(_removed(docs, batches, with_text, bits), "kept"))
+
+
+def _removed(docs: DataFrame, batches: int, with_text: bool, bits: int) -> DataFrame:
     keyed, ids = _keyed(docs)
-    table, marks = find(keyed, batches)
+    table, marks = find(keyed, batches, bits)
     states = table.select("key", "n_words", "sha", F.size("anchors").alias("n_anchors")).join(marks, "key", "left")
     full = F.expr(f"marks IS NOT NULL AND size(filter(marks, m -> m.mask = {ALL})) = n_anchors")
     empty = hashlib.sha256(b"").hexdigest()

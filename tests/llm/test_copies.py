@@ -152,20 +152,65 @@ def test_kept_text(docs):
     assert len(got) == docs.count()
 
 
-def test_index_reports_matches_with_history(spark, docs, tmp_path):
-    index = substrings.RunIndex(spark, f"file://{tmp_path}/index")
+def test_words_decide_where_hashes_collide(docs):
+    """With hashes of 3 bits most claims are false, and the words refute them."""
+    got = substrings.remove_repeats(docs, bits=3)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == plain_removal(pairs(docs))
+
+
+def spans(df):
+    return {(a["fp"], a["span"]) for r in df.collect() for a in r.anchors}
+
+
+def test_index_is_reopened_by_another_session(spark, docs, tmp_path):
+    """Eight batches, each added by a session of its own, which finds what those before have added."""
+    table = substrings.anchor_table(docs.selectExpr("doc_id AS key", "text")).cache()
+    path, seen, rewritten = f"file://{tmp_path}/index", set(), 0
+    for k in range(8):
+        index = substrings.RunIndex(spark.newSession(), path, buckets=4, fanout=2)
+        batch = table.where(f"key % 8 = {k}")
+        run = index.ingest(k, substrings.places(batch))
+        assert {(r.fp, r.span) for r in index.matches(run).collect()} == spans(batch) & seen
+        before = {r.name for r in index.runs}
+        index.commit(run)
+        rewritten += sum(index.read(r).agg({"n": "sum"}).first()[0] for r in index.runs if r.name not in before | {run.name})
+        seen |= spans(batch)
+        index.forget()
+    index = substrings.RunIndex(spark.newSession(), path)
+    assert [(r.level, r.low, r.high) for r in index.runs] == [(3, 0, 7)] and index.next == 8
+    rows = index.rows().collect()
+    total = sum(len(r.anchors) for r in table.collect())
+    assert {(r.fp, r.span) for r in rows} == seen and len(rows) == len(seen) and sum(r.n for r in rows) == total
+    assert rewritten <= 3 * total, "each occurrence at most once a level"
+    assert index.ingest(3, substrings.places(table)) is None, "a batch that is committed changes nothing"
+    run = index.ingest(8, substrings.places(table))
+    plan = index.read(run).join(index.read(index.runs[0]).hint("merge"), ["fp", "span"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, "history does not move"
+    index.forget()
+
+
+def test_a_writer_that_breaks_off_leaves_the_old_state(spark, docs, tmp_path):
     table = substrings.anchor_table(docs.selectExpr("doc_id AS key", "text")).cache()
-    first, second = table.where("key % 2 = 1"), table.where("key % 2 = 0")
-    run = index.ingest(first)
-    assert index.matches(run).count() == 0
-    index.compact(run)
-    run = index.ingest(second)
-    spans = lambda df: {(a["fp"], a["span"]) for r in df.collect() for a in r.anchors}
-    assert {(r.fp, r.span) for r in index.matches(run).collect()} == spans(first) & spans(second) != set()
-    index.compact(run)
-    assert {(r.fp, r.span) for r in index._read(index.base).collect()} == spans(table)
-    total = index._read(index.base).agg({"n": "sum"}).first()[0]
-    assert total == sum(len(r.anchors) for r in table.collect())
+    path = f"file://{tmp_path}/index"
+    index = substrings.RunIndex(spark, path, buckets=4, fanout=2)
+    index.commit(index.ingest(0, substrings.places(table)))
+    want = sorted(map(tuple, index.rows().collect()))
+    # A run without a manifest, a merged run without one, and a manifest that was cut short.
+    index.ingest(1, substrings.places(table))
+    index._write(index.read(index.runs[0]).sortWithinPartitions("fp", "span"), substrings.Run("run-torn", 1, 0, 1))
+    (tmp_path / "index" / "manifest" / f"{index._versions()[-1] + 1:012d}").write_text('{"buckets": 4, "fan')
+    index.forget()
+    again = substrings.RunIndex(spark, path)
+    assert again.next == 1 and sorted(map(tuple, again.rows().collect())) == want
+    other = substrings.RunIndex(spark, path)
+    again.commit(again.ingest(1, substrings.places(table)))
+    assert again.next == 2 and len(again.runs) == 1 and {r.n for r in again.rows().collect()} == {2 * x[2] for x in want}
+    assert sorted(p.name for p in (tmp_path / "index" / "runs").iterdir()) == [again.runs[0].name], "nothing torn stays"
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        other.commit(other.ingest(1, substrings.places(table)))
+    again.forget()
 
 
 def plain_chunks(data):
