@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: The pseudonym key of these queries; a deployment sets its own in the session.
-KEY_SETTING, KEY = "spark.lithic.pseudonymKey", "lithic-demonstration-key"
+#: The setting that holds the pseudonym key. Spark redacts settings of such a name wherever it shows them.
+KEY_SETTING = "spark.lithic.pseudonymSecret"
+_own_key: list[str] = []
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, KEY)
+    """The key that the session sets. Where it sets none, a random one, which is kept nowhere but in
+    this process: equal values are then linked within it only, and nobody can undo them later."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named is None and not _own_key:
+        _own_key.append(secrets.token_hex(32))
+    return _own_key[0] if named is None else named
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

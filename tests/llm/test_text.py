@@ -128,7 +128,7 @@ def test_feistel_is_a_permutation_and_matches_python(spark):
             l, r = ((l + f(r)) % u, r) if i % 2 == 0 else (l, (r + f(l)) % v)
         return l * v + r
 
-    got = [r.y for r in spark.range(900).selectExpr("id", pii.feistel("id", "30", "30", "k", "s") + " AS y").orderBy("id").collect()]
+    got = [r.y for r in spark.range(900).selectExpr("id", pii.feistel("id", "30", "30", "k", "'s'") + " AS y").orderBy("id").collect()]
     assert sorted(got) == list(range(900)) and got == [plain(x, 30, 30, "s", "k") for x in range(900)]
 
 
