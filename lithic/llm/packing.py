@@ -1,8 +1,8 @@
 """Cost-balanced packing of documents into fixed-length sequences.
 
 A document's cost for a model is its length plus a quadratic attention term. Documents
-go in descending order to the sequence of lowest cost that still has room, and are cut
-where none has enough. Whole-capacity parts of long documents are sequences of their own;
+go in descending order to the sequence of lowest cost that still has room for them, and are
+cut only where none has enough. Whole-capacity parts of long documents are sequences of their own;
 the rest is packed in groups of bounded size inside each input partition, so no row moves
 between tasks. The last sequences of a group have power-of-two lengths that add up to what
 is left over: those need no padding, so there is none at all.
@@ -11,7 +11,9 @@ is left over: those need no padding, so there is none at all.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,8 @@ class Packing:
     quadratic: int = 6144
     #: Remainders packed together: bounds memory, and the sequences per group.
     group: int = 4096
-    #: How many of the cheapest sequences are asked for room before a document is cut.
-    tries: int = 8
+    #: Pieces that a worker's tokenizer keeps; None for its own default.
+    cache_pieces: int | None = None
     with_ids: bool = False
     #: Number a group's sequences, whole ones included, by the mean place of their tokens in the input.
     ordered: bool = False
@@ -48,29 +50,68 @@ def capacities(total: int, capacity: int) -> list[int]:
     return [capacity] * (total // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class _Rooms:
+    """Sequences by the room they have; of those with enough of it the one of least cost, in time that grows with the capacity's logarithm."""
+
+    def __init__(self, capacity: int):
+        self.leaves = 1 << capacity.bit_length()
+        self.heaps: dict[int, list] = {}
+        self.tree: list[tuple] = [_NONE] * (2 * self.leaves)
+
+    def _renew(self, room: int) -> None:
+        tree, k, heap = self.tree, room + self.leaves, self.heaps[room]
+        tree[k] = heap[0] if heap else _NONE
+        while k > 1:
+            best = min(tree[k], tree[k ^ 1])
+            k >>= 1
+            if tree[k] == best:
+                break
+            tree[k] = best
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        if room:
+            heapq.heappush(self.heaps.setdefault(room, []), (cost, sequence, room))
+            self._renew(room)
+
+    def take(self, need: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of least cost among those with room for `need`; it is taken out."""
+        tree, k = self.tree, need + self.leaves
+        best = tree[k]
+        while k > 1:
+            if not k & 1 and tree[k + 1] < best:
+                best = tree[k + 1]
+            k >>= 1
+        if best is _NONE:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._renew(best[2])
+        return best
+
+
+_NONE = (math.inf, -1, 0)
+
+
 def assign(lengths: list[int], p: Packing) -> list[tuple[int, int, int, int, int]]:
-    """(item, from, length, sequence, offset) for every piece. All sequences end up full."""
+    """(item, from, length, sequence, offset) for every piece. All sequences end up full.
+
+    Items go in descending order, equal ones in that of their numbers, to the sequence of least
+    cost with room for all that is left of them, and are cut only where there is none."""
     cost = lambda n: n + n * n / p.quadratic
-    room = capacities(sum(lengths), p.capacity)
-    used = [0] * len(room)
+    used: dict[int, int] = defaultdict(int)
+    rooms = _Rooms(p.capacity)
     # A short sequence starts with the cost of what it lacks, or it would draw the longest documents.
-    heap = [(cost(p.capacity - r), i) for i, r in enumerate(room)]
-    heapq.heapify(heap)
+    for seq, room in enumerate(capacities(sum(lengths), p.capacity)):
+        rooms.put(room, cost(p.capacity - room), seq)
     out = []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         at, left = 0, lengths[item]
         while left:
-            tried = [heapq.heappop(heap) for _ in range(min(p.tries, len(heap)))]
-            pick = next((x for x in tried if room[x[1]] >= left), tried[0])
-            c, seq = pick
-            n = min(left, room[seq])
+            spent, seq, room = (left <= p.capacity and rooms.take(left)) or rooms.take(1)
+            n = min(left, room)
             out.append((item, at, n, seq, used[seq]))
-            at, left, room[seq], used[seq] = at + n, left - n, room[seq] - n, used[seq] + n
-            for x in tried:
-                if x is not pick:
-                    heapq.heappush(heap, x)
-            if room[seq]:
-                heapq.heappush(heap, (c + cost(n), seq))
+            at, left = at + n, left - n
+            used[seq] += n
+            rooms.put(room - n, spent + cost(n), seq)
     return out
 
 
@@ -137,16 +178,18 @@ class _Packer:
 def pack(docs: DataFrame, p: Packing) -> DataFrame:
     """One row per piece of a document; all its ids lie in exactly one piece.
 
-    Null text counts as empty and is packed as its end id alone. Rows that repeat a doc_id
-    are packed each; a null doc_id stays null. Other columns are not read. An empty table
-    gives no rows. `with_ids` adds the ids themselves.
+    Null text counts as empty and is packed as its end id alone. Texts are taken whole, however
+    long: their whole-capacity parts are sequences of their own. Rows that repeat a doc_id, or
+    whole rows, are packed each; a null doc_id stays null. Documents of equal length go in the
+    order in which they are read. Other columns, whatever their names, are not read. An empty
+    table gives no rows. `with_ids` adds the ids themselves.
     """
     schema = SCHEMA + (", ids array<long>" if p.with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     arrow = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])
 
     def run(batches):
-        enc, packer = encoder(p.tokenizer), _Packer(p, TaskContext.get().partitionId())
+        enc, packer = encoder(p.tokenizer, p.cache_pieces), _Packer(p, TaskContext.get().partitionId())
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 doc_ids, texts = (c.to_pylist() for c in b.slice(at, 512).columns)
