@@ -60,16 +60,16 @@ def boundaries(data: bytes) -> list[int]:
 
 
 def chunks(data: bytes) -> dict[int, int]:
-    """Digest -> length of each distinct chunk."""
+    """64-bit digest -> length of each distinct chunk."""
     out, at = {}, 0
     digest = xxhash.xxh3_64_intdigest
     for end in boundaries(data):
-        out[digest(data[at:end]) & 0xFFFFFFFF] = end - at
+        out[digest(data[at:end])] = end - at
         at = end
     return out
 
 
-_RECORD = np.dtype([("digest", "<u4"), ("length", "u1")])
+_RECORD = np.dtype([("digest", "<u8"), ("length", "u1")])
 
 
 def to_text(found: dict[int, int]) -> str:
@@ -92,7 +92,12 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint of every row, without any exchange. Null text counts as empty."""
+    """doc_id, n_chars, fingerprint of every row, without any exchange.
+
+    Null text counts as empty, and the empty text has the empty fingerprint. Texts are taken
+    whole, however long. Rows that repeat are fingerprinted each, a null doc_id stays null, and
+    there are no ties. An empty table gives no rows. Other columns, whatever their names, are not read.
+    """
 
     def run(batches):
         for b in batches:
@@ -157,9 +162,10 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how much of the first the second,
     and the next document, hold.
 
-    Null text counts as empty. Rows that repeat a doc_id are ordered by text; a null doc_id
-    comes last. A single row is its own next one; an empty table gives no rows. Two empty texts
-    are alike (1), an empty and another are not (0). Other columns are not read.
+    Null text counts as empty; texts are taken whole, however long. Rows that repeat a doc_id are
+    ordered by text, and equal rows follow each other; a null doc_id comes last. A single row is
+    its own next one; an empty table gives no rows. Two empty texts are alike (1), an empty and
+    another are not (0). Other columns, whatever their names, are not read.
     """
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in EDITED.split(", ")]
