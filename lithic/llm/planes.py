@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,25 +101,27 @@ def shifted_crc(crc: int, later: int) -> int:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk: int = CHUNK, bits: bool = False) -> None:
     """Encode every text, append `end_id`, and write `path`/chunks and `path`/index.
 
-    Null text counts as empty (its end id alone). Rows that repeat a doc_id are kept and
-    ordered by text; null ids come first. Other columns are not read. An empty table gives
-    empty datasets.
+    Null text counts as empty (its end id alone); texts are taken whole, however long. Rows that
+    repeat a doc_id are kept, in the order of a hash of their text; null ids come first. Equal rows
+    are one after the other in any order, which shows nowhere. However many rows share an id, they
+    are spread over partitions. Other columns, whatever their names, are not read. An empty table
+    gives empty datasets.
     """
     spark = docs.sparkSession
     arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("piece", pa.list_(pa.int32())), ("doc_tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        held: list[tuple] = []  # doc_id, first in document, ids, document's ids
+        held: deque[tuple] = deque()  # doc_id, first in document, ids, document's ids
         size = number = first = 0
 
         def cut(n: int):
-            nonlocal held, size, number, first
+            nonlocal size, number, first
             taken, left = [], n
             while left:
-                doc_id, at, ids, total = held.pop(0)
+                doc_id, at, ids, total = held.popleft()
                 if len(ids) > left:
-                    held.insert(0, (doc_id, at + left, ids[left:], total))
+                    held.appendleft((doc_id, at + left, ids[left:], total))
                     ids = ids[:left]
                 taken.append((doc_id, at, ids, total))
                 left -= len(ids)
@@ -138,7 +142,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk: int =
             yield cut(size)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    placed = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    placed = rows.repartitionByRange(partitions(spark), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     placed.mapInArrow(run, CHUNKS).write.parquet(f"{path}/chunks")
     spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("shard", "chunk", "first", "n_ids", F.length("payload").alias("bytes")).write.parquet(f"{path}/index")
 
@@ -175,6 +180,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return pieces.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """Ids from place `start` to before `stop` of the whole stream, as (start, ids) by chunk. The index
+    says which chunks hold them, and only these are read."""
+    index = spark.read.schema("shard int, chunk int, first long, n_ids int, bytes int").parquet(f"{path}/index")
+    starts = shard_starts(spark, path)
+    shards = [s for s, at in starts.items() if at < stop]
+    last = max((s for s in shards if starts[s] <= start), default=0)
+    begins = F.create_map(*[F.lit(x) for s in shards if s >= last for x in (s, starts[s])]) if shards else F.create_map(F.lit(-1), F.lit(0))
+    wanted = index.where(F.col("shard").isin([s for s in shards if s >= last])).withColumn("begin", F.element_at(begins, F.col("shard")) + F.col("first"))
+    wanted = wanted.where((F.col("begin") < stop) & (F.col("begin") + F.col("n_ids") > start)).groupBy("shard").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).collect()
+    if not wanted:
+        return spark.createDataFrame([], "start long, ids array<long>")
+    these = reduce(lambda a, b: a | b, [(F.col("shard") == w.shard) & F.col("chunk").between(w.low, w.high) for w in wanted])
+    arrow = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            for s, f, x in zip(*(b.column(n).to_pylist() for n in ("shard", "first", "payload"))):
+                ids, at = decode_block(x), starts[s] + f
+                a, z = max(0, start - at), min(len(ids), stop - at)
+                yield pa.RecordBatch.from_arrays([pa.array([at + a], pa.int64()), pa.array([ids[a:z].tolist()], arrow.field(1).type)], schema=arrow)
+
+    return spark.read.schema(CHUNKS).parquet(f"{path}/chunks").where(these).select("shard", "first", "payload").mapInArrow(run, "start long, ids array<long>")
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The id stream: shard, chunk, first id's place in the whole stream, ids."""
     starts = shard_starts(spark, path)
