@@ -31,7 +31,7 @@ class Mixing:
     temper: float = 0.5
     #: Characters in a block.
     block: int = 1 << 16
-    #: Slots in a period. It must be at least the number of sources; a plan holds this many numbers.
+    #: Slots in a period, at least: with more sources than half of it, it is twice their number. A plan holds this many numbers.
     period: int = 1000
     seed: int = 7
 
@@ -48,10 +48,13 @@ def shares(weights: Mapping, period: int) -> dict:
     while (short := period - sum(out.values())) > 0:
         for s in order[:short]:
             out[s] += 1
-    for s in sorted(out, key=lambda s: -out[s]) * period:
-        if sum(out.values()) <= period:
-            break
-        out[s] -= out[s] > 1
+    # What the smallest sources have too much comes from the largest, one slot at a time.
+    largest = [(-n, k, s) for k, (s, n) in enumerate(out.items())]
+    heapq.heapify(largest)
+    for _ in range(sum(out.values()) - period):
+        n, k, s = largest[0]
+        out[s] -= 1
+        heapq.heapreplace(largest, (n + 1, k, s))
     return out
 
 
@@ -77,9 +80,20 @@ def schedule(share: Mapping, period: int) -> dict:
     return out
 
 
+#: A plan is made on the driver, some hundred bytes a source.
+MOST_SOURCES = 1_000_000
+
+
 def source_sizes(docs: DataFrame, source: str, size: Column) -> dict:
-    """Total size by source: one number each, and a plan admits at most `period` sources."""
-    return {r.s: r.n for r in docs.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).collect()}
+    """Total size by source: one number each, of at most MOST_SOURCES sources; beyond them it raises."""
+    found = docs.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    return {r.s: r.n for r in found}
+
+
+#: A plan of at most so many sources and slots, some 20 bytes each, is broadcast; a larger one is joined like any table.
+BROADCAST_NUMBERS = 500_000
 
 
 def listed(weights: Mapping) -> dict:
@@ -97,7 +111,8 @@ def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str
     longer than a block takes the slot of the block it starts in and the following blocks start
     late. Rows of a source stand in the order of a digest of seed and id, which any engine can
     compute and which no number of partitions changes; rows that repeat an id are ordered by a
-    hash of their text. Columns of `docs` cannot clash: they travel inside the_row.
+    hash of their text, and equal rows come in any order. An empty table gives no rows. Columns
+    of `docs` cannot clash: they travel inside the_row.
     """
     spark = docs.sparkSession
     # A bucket is a range of digests, so buckets in turn, and rows inside them, are in the order of the digest.
@@ -109,7 +124,7 @@ def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str
     if not weights:
         weights = {None: 1.0}
     weights = listed(weights)
-    period = max(p.period, len(weights))
+    period = max(p.period, 2 * len(weights))
     share = shares(weights, period)
     slots = schedule(share, period)
     plan = spark.createDataFrame([(s, share[s], slots[s]) for s in share], "plan_source string, share long, slots array<int>")
@@ -128,7 +143,8 @@ def mix(docs: DataFrame, p: Mixing = Mixing(), source: str = "source", text: str
     rows = rows.withColumn("named", named).withColumn("earlier", F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("tie", "order", "key")
     rows = rows.join(bases, ["named", "bucket"])
     rows = rows.withColumn("start", F.col("base") + F.col("earlier")).withColumn("block", F.expr(f"start div {p.block}"))
-    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")))
+    small = len(share) + period <= BROADCAST_NUMBERS
+    rows = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("plan_source")))
     slot = F.expr(f"(block div share) * {period}L + element_at(slots, CAST(block % share AS INT) + 1)")
     out = rows.select("the_row", "source", "size", "block", slot.alias("slot"), F.expr(f"start % {p.block}").alias("place"))
     if ordered:
