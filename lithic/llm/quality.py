@@ -144,7 +144,10 @@ def train(x: np.ndarray, y: np.ndarray, rules: Rules = Rules()) -> Model:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `rules.sample` labelled rows; conflicting labels count as bad."""
+    """Features and labels of at most `rules.sample` labelled ids; conflicting labels count as bad.
+
+    Of rows that repeat an id the text with the smallest hash is taken, so the fit depends neither
+    on the order of rows nor on how often one repeats."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rules.sample)
 
@@ -158,13 +161,19 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array(made, pa.binary())], names=["id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("quality", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("id", "one.quality", "one.text")
     rows = rows.select("id", F.col("quality").cast("int"), "text").mapInArrow(run, "id long, quality int, x binary").toArrow().sort_by("id")
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows["x"]]).astype(np.float32) if rows.num_rows else np.zeros((0, rules.dimensions), np.float32)
     return x, rows["quality"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
-    """None where labels of both classes are too few to fit and calibrate."""
+    """A model fitted on the labelled rows; None where labels of both classes are too few to fit and calibrate.
+
+    Null text counts as empty, labels without an id or a quality are left out, and texts are taken
+    whole, however long. Without documents or labels there is no model. Columns other than
+    doc_id, text and quality are not read. The result depends on the set of rows only.
+    """
     x, y = labelled_features(docs, labels, rules)
     try:
         return train(x, y, rules)
@@ -178,9 +187,11 @@ VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def score(docs: DataFrame, model: Model | None, rules: Rules = Rules(), keep_columns: bool = False) -> DataFrame:
     """doc_id and the verdict's columns for every row, or all columns of `docs` and `kept`.
 
-    Null or empty text has no words and fails the base rule. Rows that repeat a doc_id are
-    judged each. Without a model the base rules alone decide. Other columns, whatever their
-    names, are not read (or pass through unchanged with `keep_columns`).
+    Null or empty text has no words and fails the base rule; texts are read whole, however long.
+    Rows that repeat a doc_id are judged each, alike if their texts are; a null one stays null.
+    A probability equal to the threshold is enough. Without a model the base rules alone decide.
+    An empty table gives no rows. Other columns, whatever their names, are not read (or pass
+    through unchanged with `keep_columns`).
     """
     types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
     names = [x.split()[0] for x in VERDICT.split(", ")]
