@@ -3,17 +3,17 @@
 A batch of inserts (+), deletes (-) and revisions (new minus old) is summed by source,
 language and tokenizer version and committed under its own name. A name that is committed
 already is skipped, so a replayed batch changes nothing. Totals are sums over a compacted
-base and the batches since.
+base and the batches since; compaction deletes what it has taken in.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import remove
 from .tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -27,14 +27,20 @@ WORDS = "words@1"
 
 
 def count_tokens(docs: DataFrame, columns: dict[str, str], tokenizers: dict[str, str]) -> DataFrame:
-    """`docs` columns except the texts, and `counts`: for each text column in `columns` (named by
-    its value) an array of (tokenizer, tokens). Null text counts as empty."""
+    """the_row (all columns of `docs` but the texts) and, for each text column in `columns`, a column
+    named by its value: an array of its counts by version (see `versions`).
+
+    Null text counts as empty; texts are encoded whole, however long. Rows that repeat are counted
+    each, and an empty table gives no rows. Columns of `docs` cannot clash with the counts: they
+    travel inside the_row.
+    """
     texts = list(columns)
-    keep = [c for c in docs.columns if c not in texts]
-    schema = docs.select(*keep).schema
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in texts]).alias("the_row")
+    rows = docs.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"t{k}") for k, c in enumerate(texts)])
+    schema = rows.select("the_row").schema
     for name in columns.values():
         schema = schema.add(name, T.ArrayType(T.LongType()))
-    arrow = pa.schema([pa.field(name, pa.list_(pa.int64())) for name in columns.values()])
+    kind = pa.list_(pa.int64())
 
     def run(batches):
         encoders = [encoder(path, CACHE_PIECES // len(tokenizers)) for path in tokenizers.values()]
@@ -42,36 +48,46 @@ def count_tokens(docs: DataFrame, columns: dict[str, str], tokenizers: dict[str,
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 made, known = [], None
-                for k, name in enumerate(columns.values()):
-                    values = part.column(len(keep) + k).to_pylist()
+                for k in range(len(texts)):
+                    values = part.column(1 + k).to_pylist()
                     # A second text that equals the first is not encoded again.
                     todo = values if known is None else [v for v, w in zip(values, known) if v != w]
-                    rows = list(zip(*([len(x.split()) for x in map(str.encode, todo)], *([len(i) for i in e.ids(todo)] for e in encoders))))
+                    counts = list(zip(*([len(x.split()) for x in map(str.encode, todo)], *([len(i) for i in e.ids(todo)] for e in encoders))))
                     if known is not None:
-                        fresh = iter(rows)
-                        rows = [next(fresh) if v != w else r for v, w, r in zip(values, known, first)]
+                        fresh = iter(counts)
+                        counts = [next(fresh) if v != w else r for v, w, r in zip(values, known, first)]
                     else:
-                        known, first = values, rows
-                    made.append(pa.array(rows, arrow.field(k).type))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *columns.values()])
+                        known, first = values, counts
+                    made.append(pa.array(counts, kind))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["the_row", *columns.values()])
 
-    return docs.select(*keep, *[text_or_empty(c).alias(c) for c in texts]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def versions(tokenizers: dict[str, str]) -> list[str]:
     return [WORDS, *tokenizers]
 
 
-def deltas(counted: DataFrame, names: list[str], new: str | None, old: str | None, docs: int) -> DataFrame:
-    """Signed rows: new minus old counts of each tokenizer, and `docs` documents more (+1, 0 or -1)."""
-    side = lambda c, k: F.col(c)[k] if c else F.lit(0)
-    rows = F.array(*[F.struct(F.lit(n).alias("tokenizer"), (side(new, k) - side(old, k)).cast("long").alias("n_tokens")) for k, n in enumerate(names)])
-    out = counted.select("source", "lang", F.explode(rows).alias("d"))
-    return out.select("source", "lang", "d.tokenizer", F.lit(docs).cast("long").alias("n_docs"), "d.n_tokens")
+def deltas(counted: DataFrame, names: list[str], new: str | None = None, old: str | None = None, source: str = "the_row.source", lang: str = "the_row.lang", new_source: str | None = None, new_lang: str | None = None) -> DataFrame:
+    """Signed rows for documents whose counts are in the columns `new` and `old`.
+
+    Inserts have `new` alone, deletes `old` alone. Revisions have both, and are taken from the
+    group in `source` and `lang` and added to that in `new_source` and `new_lang`, or to the same.
+    """
+
+    def side(counts: str, sign: int, s: str, g: str) -> list[Column]:
+        return [F.struct(F.col(s).alias("source"), F.col(g).alias("lang"), F.lit(n).alias("tokenizer"), F.lit(sign).cast("long").alias("n_docs"), (sign * F.col(counts)[k]).cast("long").alias("n_tokens")) for k, n in enumerate(names)]
+
+    rows = (side(new, 1, new_source or source, new_lang or lang) if new else []) + (side(old, -1, source, lang) if old else [])
+    return counted.select(F.explode(F.array(*rows)).alias("d")).select("d.*")
 
 
 class Ledger:
-    """Rollups in a folder that every executor can reach."""
+    """Rollups in a folder that every executor can reach; one writer at a time.
+
+    Batches are folders under batch/. A base is the sum of all before it; the names it has taken in
+    are beside it, in names/ and of the same number, and count only once the base is committed.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -80,26 +96,34 @@ class Ledger:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _committed(self, kind: str) -> list[str]:
-        """Names with Spark's commit marker; a folder without it is a batch that broke off."""
+    def _done(self, path: str) -> bool:
+        """Whether the folder has Spark's commit marker; one without it is of a write that broke off."""
+        fs, p = self._fs(f"{self.path}/{path}/_SUCCESS")
+        return fs.exists(p)
+
+    def _names(self, kind: str) -> list[str]:
         fs, p = self._fs(f"{self.path}/{kind}")
-        if not fs.exists(p):
-            return []
-        found = [x.getPath() for x in fs.listStatus(p)]
-        return sorted(x.getName() for x in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _bases(self) -> list[str]:
-        return self._committed("base")
+    def _base(self) -> str | None:
+        """The newest base; older ones are deleted by the compaction that made it."""
+        return max((b for b in self._names("base") if self._done(f"base/{b}")), default=None)
 
-    def _merged(self) -> set[str]:
-        bases = self._bases()
-        return {r.batch for r in self.spark.read.parquet(f"{self.path}/names/{bases[-1]}").collect()} if bases else set()
+    def _merged(self, asked: list[str]) -> set[str]:
+        """Those of the names asked for that bases have taken in; the others are not read to the driver."""
+        base = self._base()
+        lists = [f"{self.path}/names/{n}" for n in self._names("names") if base is not None and n <= base]
+        if not lists or not asked:
+            return set()
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(*lists).where(F.col("batch").isin(asked)).collect()}
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commit one batch; False if its name is committed already. Hot groups are summed before the exchange."""
-        if not batch or "/" in batch:
+        """Commit one batch; False if its name is committed already. Hot groups are summed before the exchange.
+
+        Null keys are groups of their own. Repeated rows each count. An empty batch is committed as such."""
+        if not batch or "/" in batch or batch[0] in "._":
             raise ValueError("a batch needs a name that can be a folder's")
-        if batch in self._merged() or batch in self._committed("batch"):
+        if self._done(f"batch/{batch}") or self._merged([batch]):
             return False
         rolled = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         rolled.write.mode("overwrite").parquet(f"{self.path}/batch/{batch}")
@@ -110,19 +134,26 @@ class Ledger:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 OR n_tokens != 0")
 
     def _open(self) -> list[str]:
-        merged = self._merged()
-        return [b for b in self._committed("batch") if b not in merged]
+        """Batches since the base: those that a compaction has taken in and not yet deleted are left out."""
+        there = [b for b in self._names("batch") if self._done(f"batch/{b}")]
+        merged = self._merged(there)
+        return [b for b in there if b not in merged]
 
     def totals(self) -> DataFrame:
         """Groups whose sums are not both zero. An empty ledger gives no rows."""
-        bases = self._bases()
-        return self._sum([f"{self.path}/base/{b}" for b in bases[-1:]] + [f"{self.path}/batch/{b}" for b in self._open()])
+        base = self._base()
+        return self._sum([f"{self.path}/base/{base}"] * (base is not None) + [f"{self.path}/batch/{b}" for b in self._open()])
 
     def compact(self) -> None:
-        """Fold all batches into a new base. Their names are written first and the base is
-        committed last, so a break at any point leaves the old state in force."""
-        bases, names = self._bases(), sorted(self._merged() | set(self._committed("batch")))
-        nxt = f"{int(bases[-1]) + 1 if bases else 0:012d}"
+        """Fold all batches into a new base, and delete them and the old base.
+
+        Their names are written first, the base is committed next and deletion comes last, so a
+        break at any point leaves the old state or the new one in force."""
+        base, taken = self._base(), self._open()
+        following = f"{int(base) + 1 if base is not None else 0:012d}"
         totals = self.totals()
-        self.spark.createDataFrame([(n,) for n in names], "batch string").write.mode("overwrite").parquet(f"{self.path}/names/{nxt}")
-        totals.write.mode("overwrite").parquet(f"{self.path}/base/{nxt}")
+        self.spark.createDataFrame([(n,) for n in taken], "batch string").write.mode("overwrite").parquet(f"{self.path}/names/{following}")
+        totals.write.mode("overwrite").parquet(f"{self.path}/base/{following}")
+        merged = self._merged(self._names("batch"))
+        for path in [f"base/{b}" for b in self._names("base") if b < following] + [f"batch/{b}" for b in sorted(merged)]:
+            remove(self.spark, f"{self.path}/{path}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunking, htmltext, ledger, mixing, packing, pii, planes, quality, simhash, sql, substrings
-from .common import load, materialize, scratch_path
+from .common import load, materialize, scratch_path, scratch_scope
 
 
 def tokenizer_file(name: str) -> str:
@@ -58,9 +58,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "token-files")
-    planes.write(load(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
-    return planes.read_documents(spark, path)
+    with scratch_scope() as scope:
+        path = scratch_path(spark, "token-files")
+        planes.write(load(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+        return scope.keep(materialize(planes.read_documents(spark, path), "documents"))
 
 
 def op8_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,18 +79,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first batch is then sent again, which changes nothing, and the ledger is compacted."""
     tokenizers = {"byte_bpe_50k@1": tokenizer_file("byte_bpe_50k.json")}
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.regexp_replace("text", "[#*$%&|<>]", "").alias("clean"))
-    counted = materialize(ledger.count_tokens(docs, {"text": "old", "clean": "new"}, tokenizers), "counts")
-    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = counted.join(labels, "doc_id")
-    names = ledger.versions(tokenizers)
-    book = ledger.Ledger(spark, scratch_path(spark, "ledger"))
-    inserts = ledger.deltas(counted, names, "old", None, 1)
-    book.apply("insert-1", inserts)
-    book.apply("delete-1", ledger.deltas(marked.where("toxic = 1"), names, None, "old", -1))
-    book.apply("revise-1", ledger.deltas(marked.where("toxic = 0 AND quality = 0"), names, "new", "old", 0))
-    book.apply("insert-1", inserts)
-    book.compact()
-    return book.totals()
+    with scratch_scope() as scope:
+        counted = materialize(ledger.count_tokens(docs, {"text": "old", "clean": "new"}, tokenizers), "counts")
+        labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+        marked = counted.join(labels, F.col("the_row.doc_id") == F.col("doc_id"))
+        names = ledger.versions(tokenizers)
+        book = ledger.Ledger(spark, scratch_path(spark, "ledger"))
+        inserts = ledger.deltas(counted, names, new="old")
+        book.apply("insert-1", inserts)
+        book.apply("delete-1", ledger.deltas(marked.where("toxic = 1"), names, old="old"))
+        book.apply("revise-1", ledger.deltas(marked.where("toxic = 0 AND quality = 0"), names, new="new", old="old"))
+        book.apply("insert-1", inserts)
+        book.compact()
+        return scope.keep(materialize(book.totals(), "totals"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_pii, op4_substrings, op5_quality, op6_html, op7_planes, op8_chunking, op9_mixing, op10_token_counts)}

@@ -183,6 +183,28 @@ def test_schedule_stays_within_one_block(weights):
             assert j * 1000 // k <= slot < -(-(j + 1) * 1000 // k), "between release and deadline"
 
 
+def test_many_sources():
+    """A hundred thousand: the plan stays small, and small shares are trimmed from the largest."""
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    share = mixing.shares({i: 1 + i % 7 + (i == 5) * 10**6 for i in range(n)}, 2 * n)
+    slots = mixing.schedule(share, 2 * n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(share.values()) == 2 * n == sum(map(len, slots.values())) and min(share.values()) >= 1 and max(share, key=share.get) == 5
+    assert peak < 500 << 20
+
+
+def test_more_sources_than_slots(spark):
+    df = spark.range(90).selectExpr("id AS doc_id", "concat('s', id % 30) AS source", "'some text' AS text")
+    for most in (mixing.BROADCAST_NUMBERS, 10):
+        rows = mixing.mix(df, mixing.Mixing(block=4, period=20)).collect()
+        assert len(rows) == 90 and len({r.source for r in rows}) == 30
+        assert len({(r.slot, r.source) for r in rows}) == len({r.slot for r in rows}), "a slot is one source's"
+
+
 def test_mixing_places_every_row_once(docs, hard, empty):
     for df in (docs, hard, empty):
         rows = mixing.mix(df, mixing.Mixing(block=500, period=20)).collect()

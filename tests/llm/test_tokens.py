@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lithic.llm import ledger, packing, planes, tokens
 from lithic.llm.queries import tokenizer_file
@@ -81,9 +82,33 @@ def test_packing_balances_cost():
     assert sum(c > 1 for c in cuts.values()) < len(full) * 1.2
 
 
+def plain_assign(lengths, p):
+    """Each sequence asked in turn."""
+    cost = lambda n: n + n * n / p.quadratic
+    sequences = [[cost(p.capacity - r), i, r, 0] for i, r in enumerate(packing.capacities(sum(lengths), p.capacity))]
+    out = []
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        at, left = 0, lengths[item]
+        while left:
+            s = min([x for x in sequences if x[2] >= left] or [x for x in sequences if x[2]])
+            n = min(left, s[2])
+            out.append((item, at, n, s[1], s[3]))
+            s[0], s[2], s[3], at, left = s[0] + cost(n), s[2] - n, s[3] + n, at + n, left - n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_documents_are_cut_only_where_no_sequence_has_room(seed):
+    r = random.Random(seed)
+    lengths = [[r.randint(1, 1023), min(1023, int(r.lognormvariate(5, 1)) + 1), r.choice([1, 512, 1023]), 7][seed % 4] for _ in range(400)]
+    p = packing.Packing("", capacity=1024 if seed < 4 else 100)
+    assert packing.assign(lengths, p) == plain_assign(lengths, p)
+
+
 def plain_file_rows(df):
     out, start = [], 0
-    for d, t in sorted(rows_of(df), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    tie = {r.text: r.h for r in df.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    for d, t in sorted(rows_of(df), key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1] or ""])):
         ids = whole(WORDS, t, 2)
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -98,6 +123,16 @@ def test_token_files_round_trip(spark, docs, hard, empty, tmp_path):
         assert sorted(got, key=lambda r: r[1]) == plain_file_rows(df)
     stream = [i for r in sorted(planes.read_ids(spark, f"file://{tmp_path}/0").collect(), key=lambda r: r.start) for i in r.ids]
     assert stream == [i for d, t in sorted(rows_of(docs)) for i in whole(WORDS, t, 2)]
+    for a, z in ((0, 1), (990, 1010), (3000, 7777), (len(stream) - 5, len(stream) + 5), (5, 5), (len(stream), len(stream) + 9)):
+        rows = sorted(planes.read_range(spark, f"file://{tmp_path}/0", a, z).collect(), key=lambda r: r.start)
+        assert [i for r in rows for i in r.ids] == stream[a:z] and (not rows or rows[0].start == a)
+
+
+def test_rows_of_one_id_are_spread(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("CAST(NULL AS long) AS doc_id", "'the same text' AS text")
+    planes.write(df, f"file://{tmp_path}/x", WORDS, 2, 1000)
+    sizes = [r[1] for r in spark.read.parquet(f"{tmp_path}/x/index").groupBy("shard").agg({"n_ids": "sum"}).collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.4 * sum(sizes)
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -119,27 +154,77 @@ def test_ledger(spark, docs, hard, empty, tmp_path):
     for k, df in enumerate((docs, hard, empty)):
         book = ledger.Ledger(spark, f"file://{tmp_path}/{k}")
         assert book.totals().count() == 0
-        counted = ledger.count_tokens(df.select("doc_id", "source", "lang", "text", df.text.substr(1, 20).alias("short")), {"text": "old", "short": "new"}, names).cache()
+        # Columns that are called like the counts.
+        given = df.selectExpr("doc_id", "source", "lang", "text", "substr(text, 1, 20) AS short", "'x' AS old", "lang AS new", "1 AS the_row", "2 AS t0")
+        counted = ledger.count_tokens(given, {"text": "old", "short": "new"}, names).cache()
         versions = ledger.versions(names)
-        inserts = ledger.deltas(counted, versions, "old", None, 1)
+        inserts = ledger.deltas(counted, versions, new="old")
         assert book.apply("one", inserts) and not book.apply("one", inserts)
-        assert book.apply("two", ledger.deltas(counted.where("doc_id % 2 = 0"), versions, "new", "old", 0))
-        assert book.apply("three", ledger.deltas(counted.where("doc_id % 5 = 1"), versions, "old", None, 1).selectExpr("source", "lang", "tokenizer", "-n_docs AS n_docs", "-n_tokens AS n_tokens"))
+        assert book.apply("two", ledger.deltas(counted.where("the_row.doc_id % 2 = 0"), versions, new="new", old="old"))
+        assert book.apply("three", ledger.deltas(counted.where("the_row.doc_id % 5 = 1"), versions, old="old"))
+        # A revision that takes documents to another source.
+        moved = counted.where("the_row.doc_id % 7 = 2").withColumn("to", F.lit("elsewhere"))
+        assert book.apply("four", ledger.deltas(moved, versions, new="old", old="old", new_source="to"))
         want = defaultdict(lambda: [0, 0])
         for r in df.select("doc_id", "source", "lang", "text").collect():
             long, short = r.text or "", (r.text or "")[:20]
             for name, f in ((ledger.WORDS, lambda t: len(t.encode().split())), ("b@1", lambda t: len(whole(BYTES, t, 0)) - 1)):
-                even, gone = r.doc_id is not None and r.doc_id % 2 == 0, r.doc_id is not None and r.doc_id % 5 == 1
+                even, gone, move = (r.doc_id is not None and r.doc_id % m == x for m, x in ((2, 0), (5, 1), (7, 2)))
                 group = want[r.source, r.lang, name]
-                group[0] += 1 - gone
-                group[1] += (f(short) if even else f(long)) - gone * f(long)
+                group[0] += 1 - gone - move
+                group[1] += (f(short) if even else f(long)) - gone * f(long) - move * f(long)
+                if move:
+                    want["elsewhere", r.lang, name][0] += 1
+                    want["elsewhere", r.lang, name][1] += f(long)
         want = {k: tuple(v) for k, v in want.items() if any(v)}
         read = lambda: {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in book.totals().collect()}
         assert read() == want
-        book.compact()
-        assert read() == want and not book.apply("two", inserts)
-        book.compact()
-        assert read() == want
+        for _ in range(3):
+            book.compact()
+            assert read() == want and not book.apply("two", inserts)
+            assert book._names("batch") == [] and len(book._names("base")) == 1, "what is merged is gone"
+        assert book.apply("five", inserts) and not book.apply("five", inserts)
+
+
+def test_a_compaction_that_breaks_off_changes_nothing(spark, tmp_path):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/y")
+    rows = spark.createDataFrame([("s", "en", "w", 1, 5)], ledger.DELTA)
+    assert book.apply("a", rows) and book.apply("b", rows)
+    # Names written, base not committed.
+    spark.createDataFrame([("a",), ("b",)], "batch string").write.parquet(f"{tmp_path}/y/names/000000000000")
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{tmp_path}/y/base/000000000000")
+    assert book.totals().first().n_tokens == 10 and not book.apply("a", rows)
+    # Base committed, a merged batch not yet deleted.
+    kept = f"{tmp_path}/y/batch/a"
+    import shutil
+
+    shutil.copytree(kept, f"{tmp_path}/kept")
+    book.compact()
+    shutil.copytree(f"{tmp_path}/kept", kept)
+    assert book.totals().first().n_tokens == 10 and not book.apply("a", rows)
+
+
+def test_registered_token_counts(spark):
+    """The whole query against a plain count."""
+    import re
+
+    from lithic.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    labels = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        labels[r.doc_id].append((r.quality, r.toxic))
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        marks = labels.get(r.doc_id)
+        if marks and max(t for _, t in marks) == 1:
+            continue
+        text = re.sub("[#*$%&|<>]", "", r.text or "") if marks and min(q for q, _ in marks) == 0 else r.text or ""
+        for name, n in ((ledger.WORDS, len(text.encode().split())), ("byte_bpe_50k@1", len(whole(BYTES, text, 0)) - 1)):
+            want[r.source, r.lang, name][0] += 1
+            want[r.source, r.lang, name][1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in QUERIES["op10_token_counts"](spark, sf).collect()}
+    assert got == dict(want)
 
 
 def test_a_broken_batch_is_not_counted(spark, tmp_path):
