@@ -105,6 +105,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def write_buckets(df: DataFrame, path: str, buckets: int, *by: str) -> None:
+    """Write `df`, whose partitions should hold whole buckets, so that joins on `by` need not move it again."""
+    name = f"lithic_{uuid.uuid4().hex}"
+    with freed_shuffles(df.sparkSession):
+        df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, buckets: int, *by: str) -> DataFrame:
+    """What write_buckets has written, by any session. Bucketing needs a table's name, but only until the files are found."""
+    name = f"lithic_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(by)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside rely on the order in a bucket that is one file, so that it is not sorted again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind materialized frames that nothing will read again."""
     for df in frames:

@@ -18,11 +18,9 @@ Both comparisons are first made on 64-bit hashes. What they find is then verifie
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, freed_shuffles, materialize, partitions, remove, scratch_path, scratch_scope, text_or_empty, unique_ids
+from .common import discard, materialize, partitions, read_buckets, remove, scratch_path, scratch_scope, sorted_buckets, text_or_empty, unique_ids, write_buckets
 
 WINDOW = 35
 #: Words of an anchor. Shorter ones recur by chance in unlike passages, whose windows then must be compared.
@@ -90,53 +88,56 @@ class Anchored:
         x = (self.prefix[end] - self.prefix[begin]) * _Powers.down[begin] + (end - begin).astype(np.uint64)
         return (x & self.bits).view(np.int64)
 
-    def window_hashes(self, anchor: int) -> np.ndarray:
-        begin = np.arange(self.first[anchor], self.last[anchor] + 1)
+    def window_hashes(self, at: int) -> np.ndarray:
+        """Hashes of the windows of the anchor whose first window begins at word `at`."""
+        k = np.searchsorted(self.first, at)
+        begin = np.arange(at, self.last[k] + 1)
         return self.hashes(begin, begin + WINDOW)
 
-    def windows_of(self, anchor: int) -> int:
-        return int(self.last[anchor] - self.first[anchor]) + 1
-
-    def covered(self, marks: list[tuple[int, int]]) -> np.ndarray:
-        """Which words lie in marked windows; a mark is an anchor and a bit for each of its windows."""
-        edge = np.zeros(self.n + 1, np.int64)
-        for anchor, mask in marks:
-            begin = np.arange(self.first[anchor], self.last[anchor] + 1)
-            begin = begin[(mask >> np.arange(len(begin)) & 1).astype(bool)]
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + WINDOW, -1)
-        return np.cumsum(edge)[:-1] > 0
-
 
 #: A mark for all windows of an anchor; it has one bit more than there are windows, which tells it from a mask of each of them.
 ALL = (1 << _SPAN + 1) - 1
 
 
+def covered(n: int, marks: list) -> np.ndarray:
+    """Which of `n` words lie in marked windows; a mark has an anchor's first window, the number of its windows and a bit for each."""
+    edge = np.zeros(n + 1, np.int64)
+    for m in marks:
+        at, size, mask = m["at"], m["size"], m["mask"]
+        if mask == ALL:
+            edge[at] += 1
+            edge[at + size + WINDOW - 1] -= 1
+        else:
+            begin = at + np.flatnonzero(mask >> np.arange(size) & 1)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + WINDOW, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def anchor_table(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """key, n_words, sha256 of all words, and the anchors in order."""
-    anchor = pa.struct([("fp", pa.int64()), ("span", pa.int64())])
+    """key, n_words, sha256 of all words, and the anchors in order: fingerprint, hash of the span, first window, number of windows."""
+    anchor = pa.struct([("fp", pa.int64()), ("span", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 keys, texts = (c for c in b.slice(at, 512).columns)
-                counts, shas, sizes, fps, spans = [], [], [0], [], []
+                counts, shas, sizes, parts = [], [], [0], []
                 for t in texts.to_pylist():
                     words = t.encode().split()
                     a = Anchored(words, bits)
                     counts.append(a.n)
                     shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     sizes.append(sizes[-1] + len(a.fp))
-                    fps.append(a.fp)
-                    spans.append(a.span)
-                rows = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (fps, spans)], fields=list(anchor))
+                    parts.append((a.fp, a.span, a.first, a.last - a.first + 1))
+                rows = pa.StructArray.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*parts), anchor)], fields=list(anchor))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)], names=["key", "n_words", "sha", "anchors"])
 
-    return docs.select("key", text_or_empty().alias("text")).mapInArrow(run, "key long, n_words long, sha string, anchors array<struct<fp: long, span: long>>")
+    return docs.select("key", text_or_empty().alias("text")).mapInArrow(run, "key long, n_words long, sha string, anchors array<struct<fp: long, span: long, at: int, size: int>>")
 
 
 def places(anchors: DataFrame) -> DataFrame:
-    return anchors.select("key", F.posexplode("anchors").alias("at", "a")).select("a.fp", "a.span", "key", "at")
+    return anchors.select("key", F.explode("anchors").alias("a")).select("a.fp", "a.span", "key", "a.at", "a.size")
 
 
 @dataclass(frozen=True)
@@ -149,18 +150,6 @@ class Run:
     high: int
 
 
-@contextlib.contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside rely on the order in a bucket that is one file, so that history is not sorted again."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class RunIndex:
     """Runs of (fp, span, n, key, at) under a folder that all executors share.
 
@@ -175,7 +164,7 @@ class RunIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4):
         """Open the index at `path`, or begin one; `buckets` and `fanout` hold for a new one only."""
-        self.spark, self.path, self.tables = spark, path.rstrip("/"), set()
+        self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         self.fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
@@ -226,36 +215,20 @@ class RunIndex:
         kept = {r.name for r in self.runs}
         for x in self.fs.listStatus(self._at("runs")) if self.fs.exists(self._at("runs")) else []:
             if x.getPath().getName() not in kept:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(x.getPath().getName())}")
                 self.fs.delete(x.getPath(), True)
         for v in self._versions()[:-1]:
             self.fs.delete(self._at("manifest", f"{v:012d}"), False)
 
     # --- runs
 
-    def _table(self, name: str) -> str:
-        return f"lithic_{name.replace('-', '_')}"
-
     def read(self, run: Run) -> DataFrame:
-        """A run as a bucketed table, so that a join on (fp, span) need not move it."""
-        table = self._table(run.name)
-        self.tables.add(table)
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (fp, span) SORTED BY (fp, span) INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs/{run.name}'")
-        return self.spark.table(table)
+        return read_buckets(self.spark, f"{self.path}/runs/{run.name}", self.COLUMNS, self.buckets, "fp", "span")
 
     def _write(self, df: DataFrame, run: Run) -> Run:
-        table = self._table(run.name)
-        with freed_shuffles(self.spark), sorted_buckets(self.spark):
-            self.tables.add(table)
-            df.write.format("parquet").bucketBy(self.buckets, "fp", "span").sortBy("fp", "span").option("path", f"{self.path}/runs/{run.name}").saveAsTable(table)
+        with sorted_buckets(self.spark):
+            write_buckets(df, f"{self.path}/runs/{run.name}", self.buckets, "fp", "span")
         return run
 
-    def forget(self) -> None:
-        """Drop this session's names for runs; the files stay."""
-        for table in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self.tables = set()
-
     def ingest(self, batch: int, found: DataFrame) -> Run | None:
         """Write the run of batch number `batch` (`found`: fp, span, key, at); None if it is committed already.
 
@@ -302,9 +275,9 @@ class RunIndex:
         return self._merged(self.runs) if self.runs else self.spark.createDataFrame([], self.COLUMNS)
 
 
-def window_rows(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
-    """(fp, window, n, key, at, place) for every window of the wanted anchors (key, at, n)."""
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
+def window_rows(texts: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
+    """(fp, window, n, key, at, place) for every window of the wanted anchors (fp, key, at, n)."""
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("fp", "at", "n")).alias("wanted"))
     names = ["fp", "window", "n", "key", "at", "place"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -316,64 +289,63 @@ def window_rows(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame
                     a = Anchored(text.encode().split(), bits)
                     for m in marks:
                         w = a.window_hashes(m["at"])
-                        for c, v in zip(out, (np.full(len(w), a.fp[m["at"]]), w, np.full(len(w), m["n"]), np.full(len(w), key), np.full(len(w), m["at"]), np.arange(len(w)))):
+                        for c, v in zip(out, (np.full(len(w), m["fp"]), w, np.full(len(w), m["n"]), np.full(len(w), key), np.full(len(w), m["at"]), np.arange(len(w)))):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)], names=names)
 
-    rows = docs.select("key", text_or_empty().alias("text")).join(per_text, "key")
+    rows = texts.join(per_text.hint("merge"), "key")
     return rows.select("key", "text", "wanted").mapInArrow(run, "fp long, window long, n long, key long, at int, place int")
 
 
-def claimed_words(docs: DataFrame, claims: DataFrame, bits: int = 64) -> DataFrame:
-    """(fp, hash, words, key, at, mask) for each claim (key, at, mask): the words of a whole span, or of each window in the mask."""
-    per_text = claims.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("claims"))
-    names = ["fp", "hash", "words", "key", "at", "mask"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+def claimed_words(texts: DataFrame, claims: DataFrame) -> DataFrame:
+    """(fp, hash, words) for each claim (key, fp, hash, at, length): `length` words from word `at` on."""
+    per_text = claims.groupBy("key").agg(F.collect_list(F.struct("fp", "hash", "at", "length")).alias("claims"))
+    names = ["fp", "hash", "words"]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                out = []
-                for key, text, marks in zip(*(c.to_pylist() for c in b.slice(at, 64).columns)):
+                fps, hashes, found = [], [], []
+                for text, marks in zip(*(c.to_pylist() for c in b.slice(at, 64).columns)):
                     words = text.encode().split()
-                    a = Anchored(words, bits)
                     for m in marks:
-                        k, mask = m["at"], m["mask"]
-                        begin, fp = int(a.first[k]), int(a.fp[k])
-                        if mask == ALL:
-                            out.append((fp, int(a.span[k]), b" ".join(words[begin : int(a.last[k]) + WINDOW]).decode(), key, k, ALL))
-                            continue
-                        hashes = a.window_hashes(k)
-                        out += [(fp, int(hashes[i]), b" ".join(words[begin + i : begin + i + WINDOW]).decode(), key, k, 1 << i) for i in range(len(hashes)) if mask >> i & 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+                        fps.append(m["fp"])
+                        hashes.append(m["hash"])
+                        found.append(b" ".join(words[m["at"] : m["at"] + m["length"]]))
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], names=names)
 
-    rows = docs.select("key", text_or_empty().alias("text")).join(per_text, "key")
-    return rows.select("key", "text", "claims").mapInArrow(run, "fp long, hash long, words string, key long, at int, mask long")
+    rows = texts.join(per_text.hint("merge"), "key")
+    return rows.select("text", "claims").mapInArrow(run, "fp long, hash long, words binary")
 
 
-def verified(docs: DataFrame, table: DataFrame, whole: DataFrame, part: DataFrame, bits: int = 64) -> DataFrame:
-    """Marks (key, at, mask) for `whole` (key, at, ALL) and for the rows of `part` (key, at, mask, n) with n = 1, on the words.
+def verified(texts: DataFrame, table: DataFrame, whole: DataFrame, again: DataFrame) -> DataFrame:
+    """Marks (key, at, size, mask), on the words, for `whole` (fp, span, key, at, size) and `again` (fp, window, n, key, at, place).
 
-    Where all words under one hash are equal, the least and the greatest of them show it, which
-    are found before the exchange. Grams with a hash that stands for unlike words, if there are
-    any, have all of their windows compared word by word instead.
+    Under one hash there should be one sequence of words; equal ones are made one before the
+    exchange. Grams with a hash that stands for unlike words, if there are any, have all of
+    their windows compared word by word instead.
     """
-    claims = whole.unionByName(part.select("key", "at", "mask"))
-    words = claimed_words(docs, claims, bits)
-    unlike = words.groupBy("fp", "hash").agg(F.min("words").alias("a"), F.max("words").alias("z")).where("a != z").select("fp").distinct()
-    unlike = materialize(unlike, "unlike")
-    marks = whole.unionByName(part.where("n = 1").select("key", "at", "mask"))
+    claims = whole.select("key", "fp", F.col("span").alias("hash"), "at", (F.col("size") + WINDOW - 1).alias("length"))
+    single = again.select("key", "fp", F.col("window").alias("hash"), (F.col("at") + F.col("place")).alias("at"), F.lit(WINDOW).alias("length"))
+    # One after the other, so that the words of one kind are gone before those of the other come.
+    unlike = [materialize(claimed_words(texts, c).distinct().groupBy("fp", "hash").count().where("count > 1").select("fp").distinct(), "unlike") for c in (claims, single)]
+    unlike = materialize(unlike[0].union(unlike[1]).distinct(), "unlike")
+    part = again.where("n = 1").groupBy("key", "at").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"), F.lit(_SPAN).alias("size"))
+    marks = whole.select("key", "at", "size", F.lit(ALL).cast("long").alias("mask")).unionByName(part)
     if unlike.isEmpty():
         return marks
-    again = materialize(places(table).join(unlike, "fp").select("key", "at"), "again")
-    each = materialize(claimed_words(docs, again.withColumn("mask", F.lit(ALL >> 1).cast("long")), bits), "each")
+    doubted = materialize(places(table).join(unlike, "fp").select("key", "at", "size"), "doubted")
+    every = doubted.select("key", F.explode(F.expr("sequence(at, at + size - 1)")).alias("at")).distinct()
+    # Here the hash is the window's name.
+    named = every.select("key", F.col("key").alias("fp"), F.col("at").cast("long").alias("hash"), "at", F.lit(WINDOW).alias("length"))
+    each = materialize(claimed_words(texts, named), "each")
     same = materialize(each.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("words"), "same")
-    exact = each.join(same, "words").groupBy("key", "at").agg(F.expr("bit_or(mask)").alias("mask"))
-    return marks.join(again, ["key", "at"], "left_anti").unionByName(exact)
+    exact = each.join(same, "words").select(F.col("fp").alias("key"), F.col("hash").cast("int").alias("at"), F.lit(1).alias("size"), F.lit(1).cast("long").alias("mask"))
+    return marks.join(doubted.select("key", "at"), ["key", "at"], "left_anti").unionByName(exact)
 
 
-def find(docs: DataFrame, batches: int = 2, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(anchor table, marks) of `docs` (key, text): marks are key and a list of (at, mask)."""
+def find(docs: DataFrame, batches: int = 2, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(anchor table, texts with repeats, marks) of `docs` (key, text): marks are key and a list of (at, size, mask)."""
     spark = docs.sparkSession
     table = materialize(anchor_table(docs, bits), "anchors")
     path = scratch_path(spark, "index")
@@ -382,27 +354,33 @@ def find(docs: DataFrame, batches: int = 2, bits: int = 64) -> tuple[DataFrame,
     for k in range(batches):
         run = index.ingest(k, places(table.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k)))
         # Repeated are spans that the history holds and those that the batch itself holds twice.
-        met += [index.matches(run).select("fp", "span"), materialize(index.read(run).where("n > 1").select("fp", "span"), "twice")]
+        met += [index.matches(run), materialize(index.read(run).where("n > 1"), "twice")]
         index.commit(run)
-    whole = met[0]
+    whole = met[0].select("fp", "span")
     for m in met[1:]:
-        whole = whole.union(m)
+        whole = whole.union(m.select("fp", "span"))
     whole = materialize(whole.distinct(), "repeated")
-    marks = materialize(places(table).join(whole, ["fp", "span"]).select("key", "at", F.lit(ALL).cast("long").alias("mask")), "whole")
+    discard(*met)
+    marks = materialize(places(table).join(whole, ["fp", "span"]).select("fp", "span", "key", "at", "size"), "whole")
     discard(whole)
     # Several spans around one gram: the place of each is in the index, and one stands for all equal ones.
     grams = materialize(index.rows().groupBy("fp").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("fp"), "grams")
-    several = materialize(index.rows().join(grams, "fp").select("key", "at", "n"), "several")
-    index.forget()
+    several = materialize(index.rows().join(grams, "fp").select("fp", "key", "at", "n"), "several")
     remove(spark, path)
-    windows = materialize(window_rows(docs, several, bits), "windows")
-    again = materialize(windows.groupBy("fp", "window").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "window"), "again")
-    part = windows.join(again, ["fp", "window"]).groupBy("key", "at").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"), F.max("n").alias("n"))
-    part = materialize(part, "part")
-    discard(grams, several, windows, again)
-    sure = verified(docs, table, marks, part, bits)
-    listed = sure.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    return table, materialize(listed, "marks")
+    # From here on only texts with repeats are read, and they are not moved again.
+    some = materialize(marks.select("key").union(several.select("key")).distinct(), "some")
+    folder, buckets = scratch_path(spark, "texts"), partitions(spark)
+    rows = docs.select("key", text_or_empty().alias("text")).join(some, "key", "left_semi").repartition(buckets, "key").sortWithinPartitions("key")
+    write_buckets(rows, folder, buckets, "key")
+    texts = read_buckets(spark, folder, "key BIGINT, text STRING", buckets, "key")
+    windows = materialize(window_rows(texts, several, bits), "windows")
+    twice = materialize(windows.groupBy("fp", "window").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "window"), "twice")
+    again = materialize(windows.join(twice, ["fp", "window"]), "again")
+    discard(grams, several, windows, twice)
+    sure = verified(texts, table, marks, again)
+    listed = materialize(sure.groupBy("key").agg(F.collect_list(F.struct("at", "size", "mask")).alias("marks")), "marks")
+    discard(marks, again, some)
+    return table, texts, listed
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -425,13 +403,13 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, b
     every occurrence of a repeated window goes. An empty table gives no rows. Other columns,
     whatever their names, are not read. `bits` below 64 make hashes collide, to test that words decide.
     """
-    with scratch_scope() as scope:
+    with scratch_scope() as scope, sorted_buckets(docs.sparkSession):
         return scope.keep(materialize(_removed(docs, batches, with_text, bits), "kept"))
 
 
 def _removed(docs: DataFrame, batches: int, with_text: bool, bits: int) -> DataFrame:
     keyed, ids = _keyed(docs)
-    table, marks = find(keyed, batches, bits)
+    table, repeating, marks = find(keyed, batches, bits)
     states = table.select("key", "n_words", "sha", F.size("anchors").alias("n_anchors")).join(marks, "key", "left")
     full = F.expr(f"marks IS NOT NULL AND size(filter(marks, m -> m.mask = {ALL})) = n_anchors")
     empty = hashlib.sha256(b"").hexdigest()
@@ -444,7 +422,7 @@ def _removed(docs: DataFrame, batches: int, with_text: bool, bits: int) -> DataF
                 out = []
                 for key, text, marked in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
                     words = text.encode().split()
-                    gone = Anchored(words).covered([(m["at"], m["mask"]) for m in marked or []]) if marked else np.zeros(len(words), bool)
+                    gone = covered(len(words), marked or [])
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                     out.append((key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names=names)
@@ -456,7 +434,7 @@ def _removed(docs: DataFrame, batches: int, with_text: bool, bits: int) -> DataF
     else:
         # Texts are moved only to where some but not all of their words go.
         partly = states.where(F.col("marks").isNotNull() & ~full).select("key", "marks")
-        cut = texts.join(partly, "key").select("key", "text", "marks").mapInArrow(run, RESULT)
+        cut = repeating.join(partly.hint("merge"), "key").select("key", "text", "marks").mapInArrow(run, RESULT)
         out = states.withColumn("full", full).drop("marks").join(cut, "key", "left").select(
             "key", "n_words",
             F.coalesce("n_removed", F.when(F.col("full"), F.col("n_words")).otherwise(F.lit(0))).alias("n_removed"),
