@@ -188,15 +188,18 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     are no ties. `count` names a column to add with the number of values replaced. An empty key
     is refused.
     """
-    pattern = _quote("|".join(KINDS.values()))
     inner = "the_text"
+    # A text without an at sign, and most have none, is read with a pattern that passes over most letters at once.
+    every = _quote("|".join(KINDS.values()))
+    others = _quote("(?=[0-9A-Fa-f+(])(?:" + "|".join(v for k, v in KINDS.items() if k != "mail") + ")")
+    read = lambda f: f"IF(contains({inner}, '@'), {f.format(every)}, {f.format(others)})"
     # The whole row travels as one struct, so no column of the input can clash with these names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("the_row"), F.col(f"`{column}`").alias(inner), key_column(docs.sparkSession, key))
-    rows = rows.withColumn("found", F.expr(f"regexp_extract_all({inner}, {pattern}, 0)"))
+    rows = rows.withColumn("found", F.expr(read(f"regexp_extract_all({inner}, {{}}, 0)")))
     rows = rows.withColumn("new", F.expr(f"transform(found, m -> {pseudonym('m')})"))
     loose = _quote(LOOSE)
     # Only pieces that hold a valid card of unusual grouping are taken apart once more.
-    rows = rows.withColumn("rest", F.expr(f"IF(size(found) > 0, split({inner}, {pattern}, -1), array({inner}))"))
+    rows = rows.withColumn("rest", F.expr(f"IF(size(found) > 0, {read(f"split({inner}, {{}}, -1)")}, array({inner}))"))
     again = _let("l", f"regexp_extract_all(p, {loose}, 0)", f"concat_ws('', flatten(zip_with(split(p, {loose}, -1), transform(l, x -> IF({_let('e', _digits('x'), _passes('e'))}, {_card('x')}, x)), (h, o) -> array(h, coalesce(o, '')))))")
     rows = rows.withColumn("rest_new", F.expr(f"transform(rest, p -> IF(p rlike {loose}, {again}, p))"))
     out = rows.withColumn("new_text", F.expr(f"IF({inner} IS NULL, NULL, concat_ws('', flatten(zip_with(rest_new, new, (a, b) -> array(a, coalesce(b, ''))))))"))
