@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_or_empty
+from .common import partitions, sliced, small_batches, text_or_empty
 
 #: Bytes of the shortest, normal and longest chunk; zero bits required before and after the normal size.
 SHORTEST, NORMAL, LONGEST = 12, 40, 160
@@ -100,7 +100,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 512):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([to_text(chunks(t.encode())) for t in texts], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
@@ -120,6 +120,7 @@ def with_next(docs: DataFrame, f, schema: str) -> DataFrame:
     and yields record batches.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
     share = F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIMENSIONS = 1 << 14
 
 #: A tag whose attribute values hold no angle brackets: no part of the pattern gives back what it took, so it is linear.
@@ -530,6 +532,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     addresses stay null. Of two equally probable labellings the one with less article is taken.
     Other columns, whatever their names, are not read. An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or standard_field())
 
     def run(batches):

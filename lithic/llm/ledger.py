@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove
+from .common import remove, small_batches
 from .tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -34,6 +34,7 @@ def count_tokens(docs: DataFrame, columns: dict[str, str], tokenizers: dict[str,
     each, and an empty table gives no rows. Columns of `docs` cannot clash with the counts: they
     travel inside the_row.
     """
+    small_batches(docs.sparkSession)
     texts = list(columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in texts]).alias("the_row")
     rows = docs.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"t{k}") for k, c in enumerate(texts)])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 from .tokens import encoder
 
 
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     order in which they are read. Other columns, whatever their names, are not read. An empty
     table gives no rows. `with_ids` adds the ids themselves.
     """
+    small_batches(docs.sparkSession)
     schema = SCHEMA + (", ids array<long>" if p.with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     arrow = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, text_or_empty
+from .common import partitions, small_batches, text_or_empty
 from .tokens import encoder
 
 MAGIC = b"TPL1"
@@ -108,6 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk: int =
     gives empty datasets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("doc_first", pa.list_(pa.int64())), ("piece", pa.list_(pa.int32())), ("doc_tokens", pa.list_(pa.int64()))])
 
     def run(batches):

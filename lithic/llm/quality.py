@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import sliced, small_batches, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def train(x: np.ndarray, y: np.ndarray, rules: Rules = Rules()) -> Model:
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         raise ValueError("labelled rows of both classes are needed")
-    a, b = x[~held], y[~held].astype(np.float32)
+    a, b = x[~held].astype(np.float32), y[~held].astype(np.float32)
     per = np.where(b == 1, 0.5 / (b == 1).sum(), 0.5 / (b == 0).sum()).astype(np.float32)
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -126,7 +126,7 @@ def train(x: np.ndarray, y: np.ndarray, rules: Rules = Rules()) -> Model:
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    z, t = (x[held] @ w + bias).astype(float), y[held]
+    z, t = (x[held].astype(np.float32) @ w + bias).astype(float), y[held]
     # Platt's targets keep the scale finite where classes separate.
     good, bad = (t == 1).sum(), (t == 0).sum()
     t = np.where(t == 1, (good + 1) / (good + 2), 1 / (bad + 2))
@@ -148,11 +148,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple
 
     Of rows that repeat an id the text with the smallest hash is taken, so the fit depends neither
     on the order of rows nor on how often one repeats."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rules.sample)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 512):
             ids, quality, texts = (c.to_pylist() for c in b.columns)
             made = []
             for t in texts:
@@ -163,8 +164,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(known), "id")
     rows = rows.groupBy("id").agg(F.min_by(F.struct("quality", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("id", "one.quality", "one.text")
     rows = rows.select("id", F.col("quality").cast("int"), "text").mapInArrow(run, "id long, quality int, x binary").toArrow().sort_by("id")
-    x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows["x"]]).astype(np.float32) if rows.num_rows else np.zeros((0, rules.dimensions), np.float32)
-    return x, rows["quality"].to_numpy()
+    # One copy, and that at half precision; training takes what it needs of it.
+    data = rows["x"].combine_chunks().buffers()[2] if rows.num_rows else b""
+    return np.frombuffer(data, np.float16, rows.num_rows * rules.dimensions).reshape(-1, rules.dimensions), rows["quality"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
@@ -196,6 +198,7 @@ def score(docs: DataFrame, model: Model | None, rules: Rules = Rules(), keep_col
     types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
     names = [x.split()[0] for x in VERDICT.split(", ")]
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def verdicts(texts: list[str | None]):
@@ -207,13 +210,11 @@ def score(docs: DataFrame, model: Model | None, rules: Rules = Rules(), keep_col
         return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), *verdicts(part.column(1).to_pylist())], names=["doc_id", *names])
+        for part in sliced(batches, 512):
+            yield pa.RecordBatch.from_arrays([part.column(0), *verdicts(part.column(1).to_pylist())], names=["doc_id", *names])
 
     def keep(batches):
-        for b in batches:
+        for b in sliced(batches, 512):
             yield b.filter(verdicts(b.column(b.schema.get_field_index("text")).to_pylist())[6])
 
     if keep_columns:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_scope, text_or_empty, unique_ids
+from .common import discard, materialize, scratch_scope, sliced, small_batches, text_or_empty, unique_ids
 
 WORDS = 3
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row, without any exchange."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 512):
             made = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
 
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cannot arise: ids alone decide. An empty table gives no rows. Other columns, whatever their
     names, are not read.
     """
+    small_batches(docs.sparkSession)
     with scratch_scope() as scope:
         own = materialize(fingerprints(docs), "fingerprints")
         # A class without any id still links others; its root is a fingerprint.

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions, read_buckets, remove, scratch_path, scratch_scope, sorted_buckets, text_or_empty, unique_ids, write_buckets
+from .common import discard, materialize, partitions, read_buckets, remove, scratch_path, scratch_scope, small_batches, sorted_buckets, text_or_empty, unique_ids, write_buckets
 
 WINDOW = 35
 #: Words of an anchor. Shorter ones recur by chance in unlike passages, whose windows then must be compared.
@@ -403,6 +403,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, b
     every occurrence of a repeated window goes. An empty table gives no rows. Other columns,
     whatever their names, are not read. `bits` below 64 make hashes collide, to test that words decide.
     """
+    small_batches(docs.sparkSession)
     with scratch_scope() as scope, sorted_buckets(docs.sparkSession):
         return scope.keep(materialize(_removed(docs, batches, with_text, bits), "kept"))
 
