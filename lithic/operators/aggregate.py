@@ -18,10 +18,10 @@ def aggregate(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
 
 
 def aggregate_sorted(df: DataFrame, keys: Sequence[str], *aggs: Column, partitions: int | None = None) -> DataFrame:
-    """The same answer over input clustered and sorted by key; with keys in place
-    no second exchange is planned."""
-    placed = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    return placed.sortWithinPartitions(*keys).groupBy(*keys).agg(*aggs)
+    """The same answer, clustered by key and sorted inside each partition. Rows are summed before
+    they are exchanged, so a hot key is one row of each task."""
+    out = df.groupBy(*keys).agg(*aggs)
+    return (out.repartition(partitions, *keys) if partitions else out).sortWithinPartitions(*keys)
 
 
 def unique(df: DataFrame, *keys: str) -> DataFrame:

@@ -79,6 +79,52 @@ def test_range_partitions_are_disjoint_and_whole(spark):
     assert all(a.hi < b.lo for a, b in zip(parts, parts[1:]))
 
 
+def parts_of(df):
+    return [[tuple(r) for r in p] for p in df.rdd.glom().collect()]
+
+
+def test_even_split(spark):
+    df = spark.range(0, 10_000, numPartitions=3).selectExpr("id AS key")
+    sizes = [len(p) for p in parts_of(X.scatter(df, 16))]
+    assert len(sizes) == 16 and sum(sizes) == 10_000 and max(sizes) - min(sizes) <= 16
+
+
+def test_gather_is_one_partition_with_every_row(spark):
+    parts = parts_of(X.gather(keyed(spark, EDGE).repartition(4)))
+    assert len(parts) == 1 and sorted(parts[0], key=repr) == sorted(EDGE, key=repr)
+
+
+def test_local_sort_moves_nothing(spark):
+    df = T.permutation(spark, 1000, seed=5).repartition(4).cache()
+    before, after = parts_of(df), parts_of(O.sort_local(df, "key"))
+    assert after == [sorted(p) for p in before] and len(after) == 4
+
+
+def test_sorted_aggregate_is_sorted_and_sums_first(spark):
+    out = A.aggregate_sorted(T.uniform(spark, 5000, 1, 300), ["key"], F.count("key").alias("n"))
+    assert "partial_count" in plan(out)
+    assert all(p == sorted(p) for p in parts_of(out))
+
+
+def test_bounds_reach_the_scan(spark):
+    from lithic.catalog import CATALOG
+
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for name in ("filter_tolerance", "filter_conjunction", "q6"):
+        assert "GreaterThanOrEqual(l_discount" in plan(CATALOG[name][0](wide, "/root/testdata/sf0.001")), name
+
+
+def test_entry_without_a_library():
+    """One that only the training-data operators need."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q1' in q and 'pipeline' not in q and len(q) >= 60 and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
 def test_global_sort(spark):
     keys = [r.key for r in O.order_by(T.permutation(spark, 500, seed=1), F.desc("key")).collect()]
     assert keys == list(range(500, 0, -1))
