@@ -165,6 +165,14 @@ def sliced(batches: Iterable, rows: int) -> Iterator:
             yield b.slice(at, rows)
 
 
+def moved(key: str, other: str) -> Column:
+    """`key`, a long, written so that Spark does not know it for the key of the aggregate it comes from.
+
+    A join right above an aggregate by the same key reuses its partitions, and those cannot be
+    split where one key has most rows; with this both sides are exchanged for the join, and can be."""
+    return F.expr(f"{key} ^ {other} ^ {other}")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_scope, sliced, small_batches, text_or_empty, unique_ids
+from .common import discard, materialize, moved, scratch_scope, sliced, small_batches, text_or_empty, unique_ids
 
 WORDS = 3
 SEED = 42
@@ -79,8 +79,8 @@ def hub_links(classes: DataFrame) -> DataFrame:
     the same cell within MAX_BITS: enough to join most of a large family without all of its pairs."""
     home = _cells(classes.select("fp"))
     turned = F.col("fp").bitwiseXOR(F.lit(TURN))
-    # Written out, so that a crowded cell's side of the join can be split.
-    hubs = materialize(home.groupBy("half", "cell").agg(F.min("fp").alias("m0"), F.max("fp").alias("m1"), F.min(turned).bitwiseXOR(F.lit(TURN)).alias("m2")).where("m0 < m1"), "hubs")
+    hubs = home.groupBy("half", "cell").agg(F.min("fp").alias("m0"), F.max("fp").alias("m1"), F.min(turned).bitwiseXOR(F.lit(TURN)).alias("m2")).where("m0 < m1")
+    hubs = hubs.select("half", moved("cell", "m0").alias("cell"), "m0", "m1", "m2")
     met = home.join(hubs, ["half", "cell"]).select("fp", F.explode(F.array("m0", "m1", "m2")).alias("hub"))
     met = met.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= MAX_BITS))
     return met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
@@ -99,19 +99,18 @@ def links(classes: DataFrame) -> DataFrame:
     return met.select(F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")).distinct()
 
 
-def with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`pairs` (a, b) with m, the least of a and all its b; and the written table of these minima."""
-    low = materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
-    return pairs.join(low, F.col("a") == F.col("k")), low
+def with_least(pairs: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with m, the least of a and all its b."""
+    low = pairs.groupBy("a").agg(F.min("b").alias("m")).select(moved("a", "m").alias("k"), F.least("a", "m").alias("m"))
+    return pairs.join(low, F.col("a") == F.col("k"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u > v): root is the smallest node it can reach.
 
     Large and small stars in turn (Kiveris et al., 2014), each written out, until nothing changes.
-    No step gathers a neighbourhood: minima are partial aggregates, the rest are joins. Minima
-    are written out before they are joined: a join with an aggregate right above its exchange
-    could not be split at a node that has a large part of all edges.
+    No step gathers a neighbourhood: minima are partial aggregates, the rest are joins, which
+    are split at a node that has a large part of all edges.
     """
 
     def state(df: DataFrame):
@@ -121,13 +120,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        met, low = with_least(both)
-        large = materialize(met.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        discard(now, low)
-        met, low = with_least(large.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        small = met.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = materialize(with_least(both).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(now)
+        small = with_least(large.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e"))
         now, before = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "small"), seen
-        discard(large, low)
+        discard(large)
         seen = state(now)
         if seen == before:
             break
@@ -164,7 +161,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
         tops = materialize(rooted(classes), "tops")
         # Components are found between fingerprints; the smallest id of each is a partial aggregate.
-        ids = materialize(tops.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
+        ids = tops.groupBy("root").agg(F.min("first").alias("component_id"), F.min("fp").alias("some")).select(moved("root", "some").alias("root"), "component_id")
         named = tops.select("fp", "root").join(ids, "root").select("fp", "component_id")
         out = own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
         return scope.keep(materialize(out, "components"))

@@ -98,7 +98,7 @@ def test_a_star_of_most_edges_is_split(spark):
     for k, v in {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.enabled": "false"}.items():
         wide.conf.set(f"spark.sql.{k}", v)
     pairs = wide.range(0, 200_000, numPartitions=8).selectExpr("IF(id % 50 = 0, id, 7) AS a", "id + 1000000 AS b")
-    met, _ = simhash.with_least(pairs)
+    met = simhash.with_least(pairs)
     assert met.where("m <= a").groupBy().count().first()[0] == 200_000
     met.write.format("noop").mode("overwrite").save()
     met.collect()
