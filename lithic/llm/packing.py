@@ -61,10 +61,13 @@ class _Rooms:
     def _renew(self, room: int) -> None:
         tree, k, heap = self.tree, room + self.leaves, self.heaps[room]
         tree[k] = heap[0] if heap else _NONE
+        best = tree[k]
         while k > 1:
-            best = min(tree[k], tree[k ^ 1])
+            beside = tree[k ^ 1]
+            if beside < best:
+                best = beside
             k >>= 1
-            if tree[k] == best:
+            if tree[k] is best:
                 break
             tree[k] = best
 
@@ -75,12 +78,15 @@ class _Rooms:
 
     def take(self, need: int) -> tuple[float, int, int] | None:
         """(cost, sequence, room) of least cost among those with room for `need`; it is taken out."""
-        tree, k = self.tree, need + self.leaves
-        best = tree[k]
-        while k > 1:
-            if not k & 1 and tree[k + 1] < best:
-                best = tree[k + 1]
-            k >>= 1
+        tree = self.tree
+        best = tree[1]  # often the one of least cost has room
+        if best[2] < need:
+            k = need + self.leaves
+            best = tree[k]
+            while k > 1:
+                if not k & 1 and tree[k + 1] < best:
+                    best = tree[k + 1]
+                k >>= 1
         if best is _NONE:
             return None
         heapq.heappop(self.heaps[best[2]])
@@ -115,10 +121,6 @@ def assign(lengths: list[int], p: Packing) -> list[tuple[int, int, int, int, int
     return out
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
-
-
 class _Packer:
     def __init__(self, p: Packing, partition: int):
         self.p, self.next = p, partition << 32
@@ -127,20 +129,22 @@ class _Packer:
         #: For `ordered`: tokens read, where each of `rest` begins, and the group's rows until they get their numbers.
         self.read, self.begins, self.held = 0, [], []
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
+    def add(self, doc_id, ids: np.ndarray, end: np.ndarray) -> None:
+        # Little-endian ids are what the checksum is of.
+        ids = np.concatenate((ids, end), dtype="<u4")
         whole = len(ids) // self.p.capacity * self.p.capacity
         for start in range(0, whole, self.p.capacity):
             self.put(doc_id, start, ids[start : start + self.p.capacity], len(ids), self.next, 0)
             self.next += 1
         if whole < len(ids):
-            self.rest.append((doc_id, whole, ids[whole:].copy(), len(ids)))
+            self.rest.append((doc_id, whole, ids[whole:].copy() if whole else ids, len(ids)))
             self.begins.append(self.read)
         self.read += len(ids)
         if max(len(self.rest), len(self.held)) >= self.p.group:
             self.close()
 
     def put(self, doc_id, start, ids, total, sequence, offset, begins=None) -> None:
-        row = (doc_id, start, len(ids), _crc(ids), total, sequence, offset)
+        row = (doc_id, start, len(ids), zlib.crc32(ids), total, sequence, offset)
         row = (*row, ids.tolist()) if self.p.with_ids else row
         if self.p.ordered:
             self.held.append(((self.read if begins is None else begins) + start + len(ids) / 2, row))
@@ -190,12 +194,13 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     arrow = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])
 
     def run(batches):
+        end = np.array([p.end_id], "<u4")
         enc, packer = encoder(p.tokenizer, p.cache_pieces), _Packer(p, TaskContext.get().partitionId())
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 doc_ids, texts = (c.to_pylist() for c in b.slice(at, 512).columns)
                 for doc_id, ids in zip(doc_ids, enc.ids(texts)):
-                    packer.add(doc_id, np.append(ids, np.uint32(p.end_id)))
+                    packer.add(doc_id, ids, end)
                 yield packer.take(arrow)
         packer.close()
         yield packer.take(arrow)
