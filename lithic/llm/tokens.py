@@ -15,13 +15,11 @@ import unicodedata
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Tab to carriage return, printable ASCII, Latin letters and common punctuation. U+0130 has a two-character lower case.
 _RANGES = [(0x09, 0x0D), (0x20, 0x7E), (0xA0, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC)]
-_SAFE = "".join(f"{chr(a)}-{chr(b)}".replace("\\", "\\\\") for a, b in _RANGES)
-_UNSAFE = re.compile(f"[^{_SAFE}]")
-
-
 def _members(kind: str) -> str:
     return "".join(re.escape(chr(c)) for a, b in _RANGES for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == kind)
 
@@ -30,24 +28,46 @@ _L, _N, _W = _members("L"), _members("N"), "\\t-\\r \xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_PIECES = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Where white space meets white space, or a stop or comma follows anything but a letter or digit.
-_JOINED = re.compile(f"[{_W}]{{2}}|(?<![{_L}{_N}])[.,]")
 
+def _classes() -> np.ndarray:
+    """For each code unit: w white space, n letter or digit, p stop or comma, o other, x out of range."""
+    table = np.full(1 << 16, ord("x"), np.uint8)
+    for c in chain.from_iterable(range(a, b + 1) for a, b in _RANGES):
+        kind = unicodedata.category(chr(c))[0]
+        table[c] = ord("w" if chr(c).isspace() else "n" if kind in "LN" else "p" if chr(c) in ".," else "o")
+    return table
+
+
+_CLASS = _classes()
+_LATIN_CLASS = _CLASS[:256].tobytes()
 
-def _byte_units(text: str) -> list[str]:
-    """Parts that begin at piece boundaries: before each space, stop and comma and around each
-    line end, unless characters meet there that one piece could hold; then piece by piece."""
-    if _JOINED.search(text):
-        return _BYTE_PIECES.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
+def _class_of(text: str) -> bytes:
+    """The class of every character, by table; of characters beyond 16 bits, two x."""
+    try:
+        return text.encode("latin-1").translate(_LATIN_CLASS)
+    except UnicodeEncodeError:
+        return _CLASS[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)].tobytes()
 
-def _word_units(text: str) -> list[str]:
-    """This kind drops white space, and no piece spans it. Stops and commas part as above."""
+
+def _byte_units(text: str, kinds: bytes) -> str:
+    """Parts that begin at piece boundaries, between zero characters: before each space, stop and
+    comma and around each line end, unless white space meets white space there or a stop or comma
+    follows anything but a letter or digit, which one piece could hold; then piece by piece."""
+    if kinds[:1] == b"p" or any(x in kinds for x in (b"ww", b"wp", b"op", b"pp")):
+        return "\0".join(_BYTE_PIECES.findall(text))
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,")
+
+
+def _word_units(text: str, kinds: bytes) -> str:
+    """This kind drops white space, and no piece spans it. Stops and commas part from a letter or
+    digit before them, unless some follow a sign that could stand in one piece with them."""
     text = text.lower()
-    if not _JOINED.search(text.replace("\n", " ").replace("  ", " ") if "\n" in text else text):
-        text = text.replace(".", " .").replace(",", " ,")
-    return text.split()
+    if b"op" not in kinds and b"pp" not in kinds:
+        text = text.replace(".", "\0.").replace(",", "\0,")
+    for white in " \n\t\r\xa0":
+        text = text.replace(white, "\0")
+    return text
 
 
 #: Pieces kept, about 200 bytes each; beyond it the cache starts anew, so memory is bounded.
@@ -91,9 +111,9 @@ class Encoder:
         return None
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         new, odd = [], []
         for u in units:
             (odd if self.odd.search(u) else new).append(u)
@@ -120,13 +140,13 @@ class Encoder:
         self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """In groups of about two megabytes, which bounds what is held besides the result."""
+        """In groups of about four million characters, which bounds what is held besides the result."""
         out: list[np.ndarray] = []
         group, size = [], 0
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 1 << 21:
+            if size > 1 << 22:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
@@ -134,26 +154,35 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > (self.cache_pieces or CACHE_PIECES):
             self._forget()
-        cut = [self.units(t) if self.units and not _UNSAFE.search(t) else None for t in texts]
-        units = list(chain.from_iterable(c for c in cut if c))
-        numbers = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        cut = [self._cut(t) for t in texts]
+        lists = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.large_string()), "\0")
+        # Most units of a group repeat in it: each is looked up once.
+        units = lists.flatten().dictionary_encode()
+        known, index = units.dictionary.to_pylist(), units.indices.to_numpy()
+        numbers = np.fromiter(map(self.number.get, known, repeat(-1)), np.int64, len(known))
         unknown = np.flatnonzero(numbers < 0).tolist()
         if unknown:
-            self._learn({units[i] for i in unknown})
-            numbers[unknown] = [self.number[units[i]] for i in unknown]
-        count = self.count[numbers]
+            self._learn([known[i] for i in unknown])
+            numbers[unknown] = [self.number[known[i]] for i in unknown]
+        count = self.count[numbers][index]
         ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])
-        out, at = [], 0
+        ids = self.flat[np.repeat(self.first[numbers][index] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        # Where the units of each text end among the ids.
+        bounds = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+        out, at, k = [], 0, 0
         for c, t in zip(cut, texts):
             if c is None:
                 out.append(np.array(self._whole([t])[0], dtype=np.uint32))
             else:
-                out.append(ids[ends[at] : ends[at + len(c)]])
-                at += len(c)
+                out.append(ids[at : bounds[k]])
+                at, k = bounds[k], k + 1
         return out
 
+    def _cut(self, text: str) -> str | None:
+        """The text's units between zero characters; None if it must be encoded whole."""
+        kinds = _class_of(text) if self.units else b"x"
+        return None if b"x" in kinds else self.units(text, kinds)
+
 
 _encoders: dict[tuple[str, int | None], Encoder] = {}
 
