@@ -280,6 +280,13 @@ def join_semi(spark, d):
 
 @entry("join_bloom_prefilter", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 100")
 def join_bloom_prefilter(spark, d):
+    twin = J.bloom_session(spark, least_scan="0b")
+    orders = S.select_where(T.load(twin, d, "orders", ["o_orderkey", "o_custkey"]), F.col("o_custkey") < 100).withColumnRenamed("o_orderkey", "l_orderkey")
+    return J.join(line(twin, d, "l_orderkey", "l_linenumber"), orders, "l_orderkey", strategy="merge")
+
+
+@entry("join_exact_prefilter", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 100")
+def join_exact_prefilter(spark, d):
     orders = S.select_where(T.load(spark, d, "orders", ["o_orderkey", "o_custkey"]), F.col("o_custkey") < 100).withColumnRenamed("o_orderkey", "l_orderkey")
     lines = J.prefilter(line(spark, d, "l_orderkey", "l_linenumber"), orders, "l_orderkey")
     return J.join(lines, orders, "l_orderkey")

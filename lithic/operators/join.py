@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import estimated_bytes
@@ -42,6 +42,19 @@ def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 
 def prefilter(probe: DataFrame, build: DataFrame, key: str) -> DataFrame:
-    """Exact semi-join reduction of `probe` before a larger join. The lossy form needs no code:
-    Spark injects a Bloom filter itself once spark.sql.optimizer.runtime.bloomFilter.* permit."""
+    """Exact semi-join reduction of `probe` before a larger join."""
     return semi_join(probe, build.select(key).distinct(), key)
+
+
+def bloom_session(spark: SparkSession, least_scan: str = "10GB", most_build: str = "10MB") -> SparkSession:
+    """A twin of `spark`, with its settings, for joins that shuffle: before the exchange they drop
+    probe rows whose key is not in a Bloom filter of the build side's keys. Spark builds it where the
+    probe side scans at least `least_scan` and the build side, cut by a selective filter, is
+    estimated at `most_build` or less; spark.sql.optimizer.runtime.bloomFilter.maxNumBits bounds it.
+    Rows that pass by mistake find no partner in the join itself, so the answer is exact."""
+    twin = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    twin.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    twin.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    twin.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", least_scan)
+    twin.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", most_build)
+    return twin

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def write(df: DataFrame, path: str, schema: str | None = None, rows_per_file: in
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def to_host(df: DataFrame, most_rows: int = 1_000_000) -> pa.Table:
+    """The rows as an Arrow table on the driver; ValueError, before more than that many are fetched, if
+    there are more than `most_rows`."""
+    out = df.limit(most_rows + 1).toArrow()
+    if out.num_rows > most_rows:
+        raise ValueError(f"more than {most_rows} rows: write them instead")
+    return out
+
+
 def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """An in-memory table."""
     return spark.createDataFrame(list(rows), schema)

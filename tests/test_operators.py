@@ -5,13 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lithic.catalog import CATALOG
 from lithic.functions.money import cents, day
 from lithic.operators import aggregate as A
 from lithic.operators import exchange as X
 from lithic.operators import join as J
 from lithic.operators import select as S
 from lithic.operators import sort as O
-from lithic.plans import tpch
+from lithic.plans import timing, tpch
 from lithic.sources import tables as T
 
 
@@ -48,6 +49,27 @@ def test_semi_join_keeps_one_row_each(spark):
     assert [r.key for r in J.semi_join(left, keyed(spark, [(1, 0), (1, 0), (None, 0)]), "key").collect()] == [1]
 
 
+def test_bloom_filter_is_planned(spark):
+    df = CATALOG["join_bloom_prefilter"][0](spark, "/root/testdata/sf0.01")
+    assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    assert df.count() == CATALOG["join_exact_prefilter"][0](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_hand_over_has_a_bound(spark):
+    assert T.to_host(spark.range(5), 5).num_rows == 5
+    with pytest.raises(ValueError):
+        T.to_host(spark.range(6), 5)
+
+
+def test_phases_are_collected(spark, tmp_path):
+    seconds = timing.phases(spark.range(10))
+    assert list(seconds) == [*timing.PHASES, "execution"] and seconds["execution"] > 0
+    for name in ("a", "b"):
+        timing.append_csv(str(tmp_path / "t.csv"), name, seconds)
+    assert [x.split(",")[0] for x in (tmp_path / "t.csv").read_text().split()] == ["query", "a", "b"]
+
+
 def test_filter_drops_null_and_keeps_order(spark):
     df = keyed(spark, [(i, i) for i in range(100)]).coalesce(1)
     assert [r.key for r in S.select_where(df, S.in_closed("key", 10, 20)).collect()] == list(range(10, 21))
@@ -107,8 +129,6 @@ def test_sorted_aggregate_is_sorted_and_sums_first(spark):
 
 
 def test_bounds_reach_the_scan(spark):
-    from lithic.catalog import CATALOG
-
     wide = spark.newSession()
     wide.conf.set("spark.sql.maxMetadataStringLength", "2000")
     for name in ("filter_tolerance", "filter_conjunction", "q6"):
