@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import estimated_bytes
+from ..sources.tables import estimated_bytes, table_bytes
 
-#: Broadcast only what the optimizer estimates below this many bytes.
+#: Broadcast only what is below this many bytes by the optimizer's estimate and as a table in memory.
 BROADCAST_LIMIT = 64 << 20
 
 HINTS = {"hash": "shuffle_hash", "merge": "merge"}
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """`df` marked for broadcast if its estimated size permits, else unchanged (then it shuffles)."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """`df` marked for broadcast if its size permits, else for a join that shuffles, whose rows are the same.
+
+    The estimate is of files, which can be many times smaller than their rows; so what it lets pass is
+    counted, and what then is too large is kept from Spark's own broadcasts, which go by it as well."""
+    if estimated_bytes(df) > limit:
+        return df
+    return F.broadcast(df) if table_bytes(df) <= limit else df.hint("merge")
 
 
 def join(

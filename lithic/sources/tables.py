@@ -57,3 +57,18 @@ def permutation(spark: SparkSession, n: int, seed: int = 0, name: str = "key") -
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; it reads file metadata, not data."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Bytes of a row in a hash table besides its fields: a header, a pointer and slots of which half or more are empty.
+ROW_BYTES = 48
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of `df` as a hash table in memory, by their number and the lengths of their texts.
+
+    Runs `df` once, for columns of varying length and the number of rows; of files without such columns only footers are read."""
+    rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    varying = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else 8 * F.octet_length(F.col(f.name).cast("string")) for f in rows.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant")]
+    total = sum((F.coalesce(F.sum(x), F.lit(0)) for x in varying), F.lit(0))
+    n, text = rows.agg(F.count(F.lit(1)), total).first()
+    return n * (ROW_BYTES + 16 * len(rows.columns)) + text

@@ -44,6 +44,22 @@ def test_broadcast_needs_a_small_side(spark):
     assert "broadcast" not in J.join(left, left.withColumnRenamed("val", "v2"), "key", strategy="broadcast", limit=0)._jdf.queryExecution().logical().toString()
 
 
+def test_broadcast_goes_by_rows_not_by_files(spark, tmp_path):
+    """Files of few bytes whose rows are many, or long."""
+    spark.range(100_000).selectExpr("id div 50000 AS key", "7L AS other").coalesce(1).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(20).selectExpr("id AS key", "repeat('x', 100000) AS other").coalesce(1).write.parquet(f"{tmp_path}/long.parquet")
+    left = keyed(spark, [(0, 1), (19, 2), (20, 3), (None, 4)])
+    for name, rows in (("many", 50_000), ("long", 2)):
+        right = T.load(spark, str(tmp_path), name)
+        out = J.join(left, right, "key", strategy="broadcast", limit=1 << 20)
+        assert "Broadcast" not in plan(out) and out.count() == rows
+        assert T.estimated_bytes(right) <= 1 << 20 < T.table_bytes(right)
+        assert "BroadcastHashJoin" in plan(J.join(left, right, "key", strategy="broadcast"))
+        assert "Broadcast" not in plan(left.join(J.sized_broadcast(right, 1 << 20), "key"))
+    assert T.table_bytes(keyed(spark, [])) == 0
+    assert T.table_bytes(spark.sql("SELECT array(1, 2) AS a, 'x' AS a, CAST(NULL AS string) AS b")) > 0
+
+
 def test_semi_join_keeps_one_row_each(spark):
     left = keyed(spark, [(1, 1), (2, 2), (None, 3)])
     assert [r.key for r in J.semi_join(left, keyed(spark, [(1, 0), (1, 0), (None, 0)]), "key").collect()] == [1]
