@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, exactly.
+"""Near copies by SimHash and, exactly, the Jaccard similarity of their five-word shingles.
+
+Fingerprints of the shingles meet in SimHash's grid (`simhash.near_pairs`), and texts that it brings
+together are compared. Texts can be similar and yet differ in more bits than any grid
+reaches, so what that leaves apart is then looked for by an exact way, and no link is lost.
 
 Two sets with a similarity of 4/5 or more share an element among the first n - ceil(4n/5) + 1
 of each, in any order common to all sets (prefix filter). The order is by hash, after which
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, moved, partitions, read_buckets, scratch_path, scratch_scope, sliced, small_batches, text_or_empty, write_buckets
-from .simhash import components
+from .simhash import components, majority, near_pairs
 
 WORDS = 5
 SEED = 42
@@ -119,7 +123,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """shingle, node of each text's prefix, and for each text one row without shingle that has n (size of its set), the bitmap's words and, of long sets, the counts."""
+    """shingle, node of each text's prefix, and for each text one row without shingle that has n (size of its set), the bitmap's words, of long sets the counts, and the fingerprint."""
     words = [f"w{k}" for k in range(BITMAP)]
 
     def run(batches):
@@ -128,16 +132,16 @@ def _prefixes(texts: DataFrame, common: np.ndarray, seen: np.ndarray) -> DataFra
             firsts = [prefix(h, common, seen) for h in sets]
             found = np.concatenate(firsts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(np.repeat(nodes, [len(x) for x in firsts])), pa.nulls(len(found), pa.int32()), *[pa.nulls(len(found), pa.int64())] * BITMAP, pa.nulls(len(found), pa.binary())],
-                names=["shingle", "node", "n", *words, "counts"],
+                [pa.array(found), pa.array(np.repeat(nodes, [len(x) for x in firsts])), pa.nulls(len(found), pa.int32()), *[pa.nulls(len(found), pa.int64())] * BITMAP, pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int64())],
+                names=["shingle", "node", "n", *words, "counts", "fp"],
             )
-            maps = np.array([bitmap(h) for h in sets])
+            maps, marks = np.array([bitmap(h) for h in sets]), np.array([majority(h) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sets), pa.int64()), pa.array(nodes), pa.array([len(h) for h in sets], pa.int32()), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(BITMAP)], pa.array([counts(h) if len(h) > LONG else None for h in sets], pa.binary())],
-                names=["shingle", "node", "n", *words, "counts"],
+                [pa.nulls(len(sets), pa.int64()), pa.array(nodes), pa.array([len(h) for h in sets], pa.int32()), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(BITMAP)], pa.array([counts(h) if len(h) > LONG else None for h in sets], pa.binary()), pa.array(marks)],
+                names=["shingle", "node", "n", *words, "counts", "fp"],
             )
 
-    return texts.mapInArrow(run, "shingle long, node long, n int" + "".join(f", {w} long" for w in words) + ", counts binary")
+    return texts.mapInArrow(run, "shingle long, node long, n int" + "".join(f", {w} long" for w in words) + ", counts binary, fp long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -195,6 +199,24 @@ def _possible(one: str, two: str) -> Column:
     return F.expr(f"{size} AND {OF + SHARE} * ({differ}) <= {OF - SHARE} * ({one}.n + {two}.n)")
 
 
+def _simhash_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of texts whose fingerprints are equal or meet in SimHash's grid. Each text is paired
+    with the first of its fingerprint, and firsts with each other. `marks`: node, unique, and fp."""
+    classes = materialize(marks.groupBy("fp").agg(F.min("node").alias("first")), "marks")
+    one, two = (classes.select(F.col("fp").alias(k), F.col("first").alias(a)) for k, a in (("u", "a"), ("v", "b")))
+    ends = near_pairs(classes).join(one, "u").join(two, "v").select("a", "b")
+    same = marks.join(classes, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return ends.union(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
+def _apart(pairs: DataFrame, star: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose roots in `star` differ."""
+    roots = sent(star)
+    for k in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"of_{k}")), k, "left")
+    return pairs.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over similar texts) of every row.
 
@@ -212,17 +234,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
         prefixes = materialize(_prefixes(texts, *_common(docs)), "prefixes")
         sketches = prefixes.where("counts IS NOT NULL").select("node", "n", "counts")
         sets = prefixes.where("shingle IS NULL").select("node", F.struct("n", *[f"w{k}" for k in range(BITMAP)]).alias("set"))
+
+        def compared(pairs: DataFrame, name: str) -> DataFrame:
+            near = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("two")), "v")
+            return _verified(materialize(_alike(near.where(_possible("one", "two")).select("u", "v"), sketches), name), docs)
+
+        star = components(compared(_simhash_pairs(prefixes.where("shingle IS NULL").select("node", "fp")), "near"))
+        # From here on the exact way, for texts that SimHash leaves apart.
         listed = prefixes.where("shingle IS NOT NULL").select("shingle", "node")
         turned = F.col("node").bitwiseXOR(F.lit(TURN))
-        cells = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("m0"), F.max("node").alias("m1"), F.min(turned).bitwiseXOR(F.lit(TURN)).alias("m2"))
-        cells = cells.where("members > 1").select(moved("shingle", "m0").alias("shingle"), "m0", "m1", "m2")
+        cells = listed.join(sent(star), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        cells = cells.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("m0"), F.max("node").alias("m1"), F.min(turned).bitwiseXOR(F.lit(TURN)).alias("m2"))
+        cells = cells.where("low != high").select(moved("shingle", "m0").alias("shingle"), "m0", "m1", "m2")
         met = materialize(listed.join(cells, "shingle"), "met")
         # A few members of each cell are met by all others.
         few = met.select("node", F.explode(F.array("m0", "m1", "m2")).alias("hub")).where("node != hub")
         few = few.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-        few = few.join(sets.select(F.col("node").alias("u"), F.col("set").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("two")), "v")
-        few = materialize(_alike(few.where(_possible("one", "two")).select("u", "v"), sketches), "few")
-        star = components(_verified(few, docs))
+        star = components(star.select(F.col("node").alias("u"), F.col("root").alias("v")).union(compared(_apart(few, star), "few")))
         # What those leave apart is compared pair by pair.
         rooted = materialize(met.select("shingle", "node").join(sent(star), "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root")), "rooted")
         discard(met)

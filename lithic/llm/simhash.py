@@ -33,8 +33,17 @@ TURN = 0x2545F4914F6CDD1D
 BLOCK = 1 << 14
 
 
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if more than half of the hashes have it; 0 without any."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(h), BLOCK):
+        bits = np.unpackbits(h[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str) -> int:
-    """Bit i is set if more than half of the shingles' hashes have it; 0 without words."""
+    """The majority of the shingles' hashes; 0 without words."""
     words = text.encode().lower().split()
     if not words:
         return 0
@@ -44,12 +53,7 @@ def fingerprint(text: str) -> int:
     k = min(WORDS, len(words))
     ends = (start + size - 1)[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)), np.uint64, len(ends))
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), BLOCK):
-        bits = np.unpackbits(h[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)), np.uint64, len(ends)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -86,17 +90,21 @@ def hub_links(classes: DataFrame) -> DataFrame:
     return met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of roots that have members whose fingerprints differ in 1 to MAX_BITS
-    bits. `classes`: fp, unique, and root; members of one root are not paired."""
+def _meetings(classes: DataFrame) -> DataFrame:
+    """fp, root and fp2, root2 that the grid brings together, in 1 to MAX_BITS bits apart and of different roots."""
     home = _cells(classes.select("fp", "root"))
     # One step up in a segment is a carry-free increment of its field, possible below a count of 2.
     up = "transform(filter(sequence(0, 15), k -> shiftright(cell, 2 * k) & 3 < 2), k -> cell + shiftleft(1L, 2 * k))"
     asks = home.select(F.col("root").alias("root2"), F.col("fp").alias("fp2"), F.col("half").alias("h2"), F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), F.expr(up))).alias("ask"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS
     once = (F.col("ask") != F.col("own")) | (F.col("fp") < F.col("fp2"))
-    met = home.join(asks, (F.col("cell") == F.col("ask")) & (F.col("half") == F.col("h2")) & (F.col("root") != F.col("root2")) & near & once)
-    return met.select(F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")).distinct()
+    return home.join(asks, (F.col("cell") == F.col("ask")) & (F.col("half") == F.col("h2")) & (F.col("root") != F.col("root2")) & near & once)
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of roots that have members whose fingerprints differ in 1 to MAX_BITS
+    bits. `classes`: fp, unique, and root; members of one root are not paired."""
+    return _meetings(classes).select(F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")).distinct()
 
 
 def with_least(pairs: DataFrame) -> DataFrame:
@@ -133,14 +141,28 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _hubs_rooted(classes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """`classes` with root, the same for all that the links `hubs` connect."""
+    first = components(hubs)
+    return materialize(classes.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near")
+
+
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of fingerprints within MAX_BITS, enough to connect all that are: those with
+    the hubs of their cells, then one for any two roots that these leave apart. `classes`: fp, unique."""
+    hubs = materialize(hub_links(classes), "hubs")
+    met = _meetings(_hubs_rooted(classes.select("fp"), hubs))
+    pair = F.struct(F.greatest("fp", "fp2").alias("u"), F.least("fp", "fp2").alias("v"))
+    return hubs.union(met.groupBy(F.greatest("root", "root2"), F.least("root", "root2")).agg(F.min(pair).alias("pair")).select("pair.u", "pair.v"))
+
+
 def rooted(classes: DataFrame) -> DataFrame:
     """`classes` (fp, unique, and more) with root, the same for all that links connect.
 
     Hubs of each cell come first; then only classes of different roots are paired, so a dense
     family gives about three links a member and not all of its pairs.
     """
-    first = components(hub_links(classes))
-    near = materialize(classes.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near")
+    near = _hubs_rooted(classes, hub_links(classes))
     second = components(links(near)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return near.join(second, "root", "left").select(*classes.columns, F.coalesce("top", "root").alias("root"))
 

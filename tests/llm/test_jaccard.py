@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lithic.llm import jaccard
+from lithic.llm import jaccard, simhash
 from lithic.llm.common import load, materialize
 from tests.llm.conftest import sentence
 from tests.llm.test_copies import pairs, split
@@ -80,6 +80,60 @@ def test_stage_on_given_documents(spark):
     assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == plain_kept(pairs(df))
 
 
+def test_simhash_comes_first(spark, monkeypatch):
+    """All pairs that its grid finds, and no others, are compared first; similar texts further apart are still found."""
+    r = random.Random(4)
+    rows = []
+    for base in [sentence(r, n) for n in (300, 900, 900)]:
+        for _ in range(30):
+            words = base.split()
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+            rows.append((1000 + len(rows) * 37 % 991, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked, inner = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, docs: (asked.append({(x.u, x.v) for x in pairs.collect()}), inner(pairs, docs))[1])
+    kept = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert sorted(x.doc_id for x in kept.collect()) == plain_kept(rows)
+    marks = {d: simhash.majority(jaccard.shingles(t)) for d, t in rows}
+    near = lambda u, v: (marks[u] ^ marks[v]).bit_count() <= 3
+    assert asked[0] and all(near(u, v) for u, v in asked[0])
+    met = {d for pair in asked[0] for d in pair}
+    assert met == {d for d in marks if any(near(d, x) for x in marks if x != d)}
+    assert any(not near(u, v) for u, v in asked[1] | asked[2])
+
+
+def test_grid_pairs_connect_all_within_the_radius(spark):
+    r = random.Random(8)
+    marks = {r.getrandbits(64) for _ in range(300)}
+    for base in list(marks)[:20]:
+        for _ in range(30):
+            for _ in range(r.randint(1, 2)):
+                base ^= 1 << r.randrange(64)
+            marks.add(base)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    classes = spark.createDataFrame([(signed(x),) for x in marks], "fp long")
+    found = [(x.u, x.v) for x in simhash.near_pairs(classes).collect()]
+    assert all(u > v and ((u ^ v) & (1 << 64) - 1).bit_count() <= 3 for u, v in found) and len(set(found)) == len(found)
+
+    def parts(links):
+        root = {signed(x): signed(x) for x in marks}
+        for a, b in links:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[a] = b
+        return sorted(sorted(x for x in root if top(root, x) == t) for t in {top(root, x) for x in root})
+
+    def top(root, x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    every = [(signed(a), signed(b)) for a in marks for b in marks if a < b and (a ^ b).bit_count() <= 3]
+    assert parts(found) == parts(every)
+
+
 def test_unlike_rows_under_one_id_stay(spark, hard):
     kept = corpus_pipeline.near_duplicates(spark, hard, SF)
     assert kept.dtypes == hard.dtypes
