@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, moved, partitions, read_buckets, scratch_path, scratch_scope, sliced, small_batches, text_or_empty, write_buckets
 from .simhash import components, majority, near_pairs
+from .tokens import release
 
 WORDS = 5
 SEED = 42
@@ -100,6 +101,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """doc_id and digest of its lower-cased words."""
 
     def run(batches):
+        release()
         for b in sliced(batches, 512):
             made = [xxhash.xxh3_128_digest(b" ".join(lowered(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "digest"])
@@ -127,6 +129,7 @@ def _prefixes(texts: DataFrame, common: np.ndarray, seen: np.ndarray) -> DataFra
     words = [f"w{k}" for k in range(BITMAP)]
 
     def run(batches):
+        release()
         for part in sliced(batches, 256):
             nodes, sets = part.column(0).to_numpy(), [shingles(t) for t in part.column(1).to_pylist()]
             firsts = [prefix(h, common, seen) for h in sets]

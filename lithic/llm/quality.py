@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, small_batches, text_or_empty
+from .tokens import release
 
 
 @dataclass(frozen=True)
@@ -153,6 +154,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rules: Rules) -> tuple
     known = known.orderBy(F.xxhash64("id"), "id").limit(rules.sample)
 
     def run(batches):
+        release()
         for b in sliced(batches, 512):
             ids, quality, texts = (c.to_pylist() for c in b.columns)
             made = []
@@ -210,10 +212,12 @@ def score(docs: DataFrame, model: Model | None, rules: Rules = Rules(), keep_col
         return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
 
     def run(batches):
+        release()
         for part in sliced(batches, 512):
             yield pa.RecordBatch.from_arrays([part.column(0), *verdicts(part.column(1).to_pylist())], names=["doc_id", *names])
 
     def keep(batches):
+        release()
         for b in sliced(batches, 512):
             yield b.filter(verdicts(b.column(b.schema.get_field_index("text")).to_pylist())[6])
 

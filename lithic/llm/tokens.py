@@ -9,6 +9,8 @@ classes are the same in every Unicode version; any other text goes to the librar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import re
 import unicodedata
@@ -196,3 +198,12 @@ def encoder(path: str, cache_pieces: int | None = None) -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[key] = Encoder(path, cache_pieces)
     return _encoders[key]
+
+
+def release() -> None:
+    """Drop this worker's encoders and give their memory back: workers are used again by other operators, which would keep them for nothing."""
+    if _encoders:
+        _encoders.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)

@@ -233,3 +233,21 @@ def test_a_broken_batch_is_not_counted(spark, tmp_path):
     rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{tmp_path}/x/batch/half")
     assert book.totals().count() == 0
     assert book.apply("half", rows) and book.totals().first().n_tokens == 5
+
+
+def test_other_operators_drop_the_encoders(docs, monkeypatch):
+    """A worker that packed texts and now serves another stage of the pipeline holds no encoder."""
+    from lithic.llm import jaccard, quality
+
+    taken, kind = [], type(docs)
+    inner = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: (taken.append(f), inner(self, f, *a, **b))[1])
+    quality.score(docs, None)
+    quality.score(docs, None, keep_columns=True)
+    jaccard._classes(docs)
+    jaccard._prefixes(docs, np.empty(0, np.uint64), np.empty(0, np.int64))
+    assert len(taken) == 4
+    for f in taken:
+        tokens.encoder(BYTES).ids(["some words"])
+        list(f(iter([])))
+        assert not tokens._encoders
