@@ -151,7 +151,9 @@ class Encoder:
             if size > 1 << 22:
                 out += self._group(group)
                 group, size = [], 0
-        return out + self._group(group)
+        out += self._group(group)
+        trim()
+        return out
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > (self.cache_pieces or CACHE_PIECES):
@@ -186,6 +188,13 @@ class Encoder:
         return None if b"x" in kinds else self.units(text, kinds)
 
 
+def trim() -> None:
+    """Give free memory back to the system, which allocators keep otherwise; some milliseconds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
@@ -204,6 +213,4 @@ def release() -> None:
     """Drop this worker's encoders and give their memory back: workers are used again by other operators, which would keep them for nothing."""
     if _encoders:
         _encoders.clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
