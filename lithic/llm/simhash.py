@@ -9,7 +9,7 @@ of a step is enough, the other asks back). What meets is verified on the bits.
 
 Texts with equal fingerprints are one class before all that; classes, not documents, are
 linked: first with a few hubs of their cells, then with classes that this left apart.
-Components come from alternating star contraction over the links.
+Components come from alternating star contraction over the links, and in one task once those are few.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MAX_BITS = 3
 TURN = 0x2545F4914F6CDD1D
 #: Rows of 64 bits that are counted at once.
 BLOCK = 1 << 14
+#: Graphs of so many edges at most, a quarter of a megabyte, are solved in one task; more are contracted by joins until so few are left, or to the end.
+SMALL_GRAPH = 1 << 14
 
 
 def majority(h: np.ndarray) -> int:
@@ -113,12 +115,43 @@ def with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(low, F.col("a") == F.col("k"))
 
 
+def stars(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """Every node of the edges but the roots, and its root: the smallest node it can reach."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(u, v):
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if top(x) != x]
+    return nodes, [top(x) for x in nodes]
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """The stars (u, v) of a small graph's components, by one task."""
+
+    def run(batches):
+        u, v = [], []
+        for b in batches:
+            u += b.column(0).to_pylist()
+            v += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(u, v)], names=["u", "v"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u > v): root is the smallest node it can reach.
 
     Large and small stars in turn (Kiveris et al., 2014), each written out, until nothing changes.
     No step gathers a neighbourhood: minima are partial aggregates, the rest are joins, which
-    are split at a node that has a large part of all edges.
+    are split at a node that has a large part of all edges. What has SMALL_GRAPH edges or fewer,
+    at first or after some rounds, is solved in one task: its rounds would be
+    many jobs, whose tasks cost the driver far more than the edges cost anyone.
     """
 
     def state(df: DataFrame):
@@ -127,6 +160,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges, "edges")
     seen = state(now)
     while seen[0]:
+        if seen[0] <= SMALL_GRAPH:
+            before, now = now, materialize(_solved(now), "small")
+            discard(before)
+            break
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         large = materialize(with_least(both).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
         discard(now)
